@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .html_text import op10_html_extraction
 from .packing import op7_harmonic_packing
+from .secrets import op8_secret_scan
 
 
 def queries() -> dict:
@@ -10,6 +12,8 @@ def queries() -> dict:
 
     return {
         "op7_harmonic_packing": op7_harmonic_packing,
+        "op8_secret_scan": op8_secret_scan,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
