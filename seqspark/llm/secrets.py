@@ -212,9 +212,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(0).to_pylist()):
-                rows += [(kind, value) for (kind, _, _), value in base_spans(text or "")]
-                if i % 16 == 0:
-                    rows += [("word", w) for w in (text or "")[:400].split()[:20]]
+                found = base_spans(text or "")
+                rows += [(kind, value) for (kind, _, _), value in found]
+                if text and not found and i % 16 == 0:
+                    rows += [("word", w) for w in set(text.split())]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["kind", "value"])
 
     share = min(1.0, sample_docs / max(1, docs.count()))

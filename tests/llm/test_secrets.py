@@ -18,6 +18,7 @@ def rows():
     rng = random.Random(4)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     out = [(i, f'é the token = "{hexes(40)}" and of words {i}') for i in range(150)]
+    out += [(i, "ordinary words that hold no credential, of any kind; " * 3 + f"number {i}") for i in range(300, 340)]
     out += [(200, None), (201, ""), (202, "token=abc password: 'short' API_KEY=abcdef"), (203, "AKIA" + "A1" * 8 + " AKIAX"), (203, "AKIA" + "A1" * 8)]
     out += [(204, "plain prose with ordinaryandverylongwordsinit 12345678901234567890"), (205, "word " * 30_000 + "ſecret=abcdefgh Kelvin")]
     out += [(206, "lonely 9f86d081884c7d65-9a2feaa0c55ad015 key")]
