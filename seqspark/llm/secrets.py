@@ -262,7 +262,8 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]", model: Model | None = None) -> DataFrame:
     """``docs`` with the text of every found span replaced by ``mark`` and n_chars counted anew."""
     model = model or fit(docs)
-    at, schema = docs.columns.index("text"), docs.schema
+    names, schema = docs.columns, docs.schema
+    at, n_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,9 +281,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", model: Model | None = None)
                 texts.append(text)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
-            if "n_chars" in docs.columns:
-                columns[docs.columns.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            if n_chars is not None:
+                columns[n_chars] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, schema)
 
