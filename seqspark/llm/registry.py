@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .html_text import op10_html_extraction
+from .langid import op5_language_id
 from .packing import op7_harmonic_packing
 from .secrets import op8_secret_scan
 
@@ -11,6 +12,7 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op5_language_id": op5_language_id,
         "op7_harmonic_packing": op7_harmonic_packing,
         "op8_secret_scan": op8_secret_scan,
         "op10_html_extraction": op10_html_extraction,
