@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .html_text import op10_html_extraction
 from .langid import op5_language_id
+from .minhash import op9_minhash_near_dedup
 from .packing import op7_harmonic_packing
 from .secrets import op8_secret_scan
 
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op5_language_id": op5_language_id,
         "op7_harmonic_packing": op7_harmonic_packing,
         "op8_secret_scan": op8_secret_scan,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_html_extraction": op10_html_extraction,
     }
 
