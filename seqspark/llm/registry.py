@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import decontaminate
+from .decontaminate import op3_decontamination
 from .html_text import op10_html_extraction
 from .langid import op5_language_id
 from .minhash import op9_minhash_near_dedup
@@ -13,6 +15,7 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op3_decontamination": op3_decontamination,
         "op5_language_id": op5_language_id,
         "op7_harmonic_packing": op7_harmonic_packing,
         "op8_secret_scan": op8_secret_scan,
@@ -22,4 +25,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_decontamination": decontaminate.ORACLE,
+    }
