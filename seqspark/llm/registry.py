@@ -8,6 +8,7 @@ from .html_text import op10_html_extraction
 from .langid import op5_language_id
 from .minhash import op9_minhash_near_dedup
 from .packing import op7_harmonic_packing
+from .pii import op6_pii
 from .secrets import op8_secret_scan
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op3_decontamination": op3_decontamination,
         "op5_language_id": op5_language_id,
+        "op6_pii": op6_pii,
         "op7_harmonic_packing": op7_harmonic_packing,
         "op8_secret_scan": op8_secret_scan,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
