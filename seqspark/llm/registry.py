@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontaminate
+from .bloom_lm import op1_lm_scoring
 from .decontaminate import op3_decontamination
 from .html_text import op10_html_extraction
 from .langid import op5_language_id
@@ -16,6 +17,7 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op3_decontamination": op3_decontamination,
         "op5_language_id": op5_language_id,
         "op6_pii": op6_pii,
