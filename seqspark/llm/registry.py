@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import bitsliced, decontaminate
+from .bitsliced import op2_exact_top_k
 from .bloom_lm import op1_lm_scoring
 from .decontaminate import op3_decontamination
 from .html_text import op10_html_extraction
@@ -18,6 +19,7 @@ def queries() -> dict:
 
     return {
         "op1_lm_scoring": op1_lm_scoring,
+        "op2_exact_top_k": op2_exact_top_k,
         "op3_decontamination": op3_decontamination,
         "op5_language_id": op5_language_id,
         "op6_pii": op6_pii,
@@ -30,5 +32,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_exact_top_k": bitsliced.ORACLE,
         "op3_decontamination": decontaminate.ORACLE,
     }
