@@ -26,11 +26,24 @@ from pyspark.sql import functions as F
 CAPACITY = 4096
 END_ID = 2
 #: Distinct words whose ids a worker remembers; it starts afresh beyond that (speed only).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _plain(text: str) -> bool:
+    """Latin-1 text without special tokens: lower case before or after normalisation is the same."""
+    if "<|" in text:
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordTokenizer:
     """Ids of texts as little-endian uint32 bytes; words between spaces are encoded once."""
 
@@ -46,12 +59,18 @@ class WordTokenizer:
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         known = self.known
-        split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(known)) if split else []
+        split = [(t.lower() if _plain(t) else t).replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(known)
+        # Letters and a mark after them never share a token, so "word." is "word" and ".".
+        marked = {w for w in new if w[-1] in ".,!?:;" and w[:-1].isalpha()}
+        new = new - marked | {w[:-1] for w in marked}.difference(known) | {w[-1] for w in marked}.difference(known)
+        new = list(new)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[word] = np.array(got.ids, dtype="<u4").tobytes()
+        for word in marked:
+            known[word] = known[word[:-1]] + known[word[-1]]
         return [b"".join(map(known.__getitem__, w)) for w in split]
 
 
