@@ -12,6 +12,7 @@ from .minhash import op9_minhash_near_dedup
 from .packing import op7_harmonic_packing
 from .pii import op6_pii
 from .secrets import op8_secret_scan
+from .suffix_dedup import op4_suffix_dedup
 
 
 def queries() -> dict:
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op1_lm_scoring": op1_lm_scoring,
         "op2_exact_top_k": op2_exact_top_k,
         "op3_decontamination": op3_decontamination,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_language_id": op5_language_id,
         "op6_pii": op6_pii,
         "op7_harmonic_packing": op7_harmonic_packing,
