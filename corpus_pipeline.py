@@ -1 +1,67 @@
-"""Corpus pipeline (placeholder until its stages exist)."""
+"""Corpus pipeline: five stages from raw documents to packed token sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``. Between stages the rows are written as Parquet and read again, so each stage starts
+from what its predecessor kept.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqspark.llm import decontaminate, langid, minhash, packing, secrets
+from seqspark.llm.tables import stored, table
+
+#: No SQL expresses these stages; tests compare them with brute force.
+ORACLE_SQL = None
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not among ``ids``; rows without an id stay."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without letters, and those far from every language's centroids, go."""
+    found = langid.identify(docs, langid.fit(docs))
+    return found.where(~F.col("rejected")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near duplicates stays, once."""
+    found = minhash.near_duplicates(docs, minhash.SHINGLE_WORDS, minhash.SIMILARITY)
+    return _without(docs, found.where(~F.col("kept"))).distinct()
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("contaminated"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Credentials are replaced in the text by a mark; n_chars follows."""
+    return secrets.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, by sequence."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("secret_scan", without_secrets),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,6 +19,7 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_lm_scoring": op1_lm_scoring,
         "op2_exact_top_k": op2_exact_top_k,
         "op3_decontamination": op3_decontamination,
@@ -33,7 +34,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    import corpus_pipeline
+
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {
         "op2_exact_top_k": bitsliced.ORACLE,
         "op3_decontamination": decontaminate.ORACLE,
     }
