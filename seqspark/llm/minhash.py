@@ -5,9 +5,10 @@
 2. Nodes that agree in a band share a bucket. Each is paired with the bucket's least node only, so a
    bucket of n nodes gives n - 1 pairs. Pairs whose signatures agree enough are confirmed on the full
    sets; star contraction gives components.
-3. Buckets that still hold several components are searched exactly: the members outside a bucket's
-   commonest component meet all its members, in blocks of a fixed size. Only pairs of different
-   components with close signatures are confirmed. No bucket, pair or partner is capped.
+3. Buckets that still hold several components are searched exactly: buckets that share nodes make a
+   family, and the members outside a family's commonest component meet all its members, in blocks of
+   a fixed size that bring their full sets. Pairs of different components with close signatures are
+   confirmed there and only links come out. No bucket, family or partner is capped.
 
 At similarity 0.85 a pair shares no band with probability 7e-9, and ``SLACK`` standard errors are
 allowed before a signature dismisses a pair. Sets needed for confirmation are computed in a second pass over the texts;
@@ -15,8 +16,8 @@ a bit table of fixed size (``FILTER_BITS``) of wanted ids, broadcast, only spare
 for.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; rows of
-one id are one node of the graph and give one row each; an empty table gives no rows; columns other than id and text
-are ignored.
+one id are one node of the graph and give one row each; a row without an id joins the group of an equal set
+or stands alone and is kept; an empty table gives no rows; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -147,18 +148,20 @@ def _screen(least: float):
     return run
 
 
+def _similar(a: bytes, b: bytes, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted sets of hashes."""
+    small, large = sorted((np.frombuffer(a, U64), np.frombuffer(b, U64)), key=len)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(small) + len(large) - both)
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
-                small, large = (a, b) if len(a) <= len(b) else (b, a)
-                ok.append(False)
-                if 100 * len(small) >= percent * len(large):
-                    at = np.searchsorted(large, small)
-                    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                    ok[-1] = 100 * both >= percent * (len(a) + len(b) - both)
+            ok = [_similar(a.as_buffer(), b.as_buffer(), percent) for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -193,31 +196,46 @@ def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return stored(pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b").mapInArrow(_verify(percent), "u long, v long"), "links")
 
 
-def _blocks(buckets: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components among (band, n, main, node, component, sig), with close signatures.
+def _blocks(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links between components of (family, n, main, node, component, sig, hashes), n: the family's size.
 
-    Members outside the bucket's main component meet all members, block by block.
+    Members outside their family's commonest component meet all its members, ``BLOCK`` of each at a time.
+    Small families share groups. A link is given only where it joins two components of its group.
     """
-    spread = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), F.ceil(F.col("n") / BLOCK))
-    every = buckets.withColumn("block", spread(1)).withColumn("asks", F.lit(False))
-    other = buckets.where("component <> main").withColumn("part", spread(2))
-    parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)
+    spread = lambda c: F.when(F.col("n") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("node", F.lit(c)), F.ceil(F.col("n") / BLOCK)))
+    cells = members.count() // (4 * BLOCK) + 1
+    keyed = members.withColumn("cell", F.when(F.col("n") <= BLOCK, F.pmod(F.xxhash64("family"), F.lit(cells))).otherwise(F.col("family") + cells))
+    other = keyed.where("component <> main").withColumn("part", spread(2))
+    parts = F.sequence(F.lit(0).cast("long"), F.when(F.col("n") <= BLOCK, F.lit(0).cast("long")).otherwise(F.ceil(F.col("n") / BLOCK) - 1))
     asking = other.withColumn("block", F.explode(parts)).withColumn("asks", F.lit(True))
-    present = other.select("band", "part").distinct()
-    asked = every.join(present, "band")
-    columns = ["band", "block", "part", "asks", "node", "component", "sig"]
+    asked = keyed.withColumn("block", spread(1)).withColumn("part", F.explode(parts)).withColumn("asks", F.lit(False))
+    columns = ["cell", "block", "part", "family", "asks", "node", "component", "sig", "hashes"]
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+    def links(pdf: pd.DataFrame) -> list[tuple[int, int]]:
         asks, rest = pdf[pdf.asks], pdf[~pdf.asks]
-        out = []
-        if len(asks) and len(rest):
-            s = np.frombuffer(b"".join(rest.sig), np.uint32).reshape(len(rest), -1)
-            for node, component, sig in zip(asks.node, asks.component, asks.sig):
-                ok = ((s == np.frombuffer(sig, np.uint32)).mean(axis=1) >= least) & (rest.component != component).to_numpy()
-                out += [(max(node, y), min(node, y)) for y in rest.node[ok]]
-        return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
+        out: list[tuple[int, int]] = []
+        if not len(asks) or not len(rest):
+            return out
+        s = np.frombuffer(b"".join(rest.sig), np.uint32).reshape(len(rest), -1)
+        home, nodes, sets = rest.component.to_numpy().copy(), rest.node.to_numpy(), list(rest.hashes)
+        joined: dict[int, int] = {}
+        for node, component, sig, own in zip(asks.node, asks.component, asks.sig, asks.hashes):
+            while component in joined:
+                component = joined[component]
+            near = (s == np.frombuffer(sig, np.uint32)).mean(axis=1) >= least
+            for i in np.flatnonzero(near & (home != component)):
+                if home[i] != component and _similar(own, sets[i], percent):
+                    out.append((node, nodes[i]))
+                    low, high = sorted((int(component), int(home[i])))
+                    joined[high] = component = low
+                    home[home == high] = low
+        return out
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [x for _, family in pdf.groupby("family") for x in links(family)]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    return asking.select(columns).union(asked.select(columns)).groupBy("band", "block", "part").applyInPandas(group, "x long, y long").distinct()
+    return asking.select(columns).union(asked.select(columns)).groupBy("cell", "block", "part").applyInPandas(group, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,15 +255,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similar
 
     found = stored(components(links), "components")
     placed = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("band").agg(F.mode("component").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "main")
-    open_buckets = placed.join(mixed, "band").join(nodes, "node").select("band", "n", "main", "node", "component", "sig")
-    more = _confirm(rows, _blocks(stored(open_buckets, "open"), floor_of(percent / 100)), shingle_words, percent)
+    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    families = stored(components(placed.join(mixed, "band").select(F.col("node").alias("u"), F.col("first").alias("v"))), "families").select("node", F.col("component").alias("family"))
+    homes = families.join(found, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
+    mains = homes.groupBy("family").agg(F.count("*").alias("n"), F.mode("component").alias("main"))
+    sets = wanted_sets(rows, homes.select(F.col("node").alias("doc_id")), shingle_words).withColumnRenamed("doc_id", "node").dropDuplicates(["node"])
+    members = stored(homes.join(mains, "family").join(nodes, "node").join(sets, "node"), "members")
+    more = stored(_blocks(members, floor_of(percent / 100), percent), "links")
     if not more.isEmpty():
         found = stored(components(links.union(more)), "components")
 
     out = described.select("doc_id", "n_shingles", "h1", "h2").join(groups, ["h1", "h2"], "left").join(found, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
