@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = Path(__file__).resolve().parents[2]
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the workers, once a context, where they would not find it by path."""
+    context = spark.sparkContext
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if context.applicationId in _shipped or str(ROOT) in known:
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        shutil.copytree(ROOT / "seqspark", Path(folder, "code", "seqspark"), ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/seqspark", "zip", Path(folder, "code")))
+    _shipped.add(context.applicationId)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
