@@ -118,21 +118,42 @@ def _plain(seq: Sequence, df: DataFrame) -> DataFrame:
     return df.drop(CHUNK)
 
 
+@dataclass(frozen=True)
+class Running:
+    """One running fold for ``scan_many``."""
+
+    value: Column
+    op: str | Monoid = "sum"
+    exclusive: bool = False
+    init: object = None
+
+    def before(self, x: Column) -> Column:
+        """How totals of chunks combine: counts add up."""
+        return F.sum(x) if self.op == "count" else monoid(self.op).fold(x)
+
+    def result(self, carry: Column, local: Column) -> Column:
+        m = monoid(self.op)
+        y = m.combine(carry, local)
+        return y if self.init is None else m.combine(self.init if isinstance(self.init, Column) else F.lit(self.init), y)
+
+
+def scan_many(seq: Sequence, folds: dict[str, Running]) -> DataFrame:
+    """Several running folds over one order, by name, in one pass."""
+    values = {n: f"_x{i}" for i, n in enumerate(folds)}
+    df = seq.chunked.select("*", *[folds[n].value.alias(x) for n, x in values.items()])
+    totals = df.groupBy(CHUNK).agg(*[monoid(folds[n].op).fold(F.col(x)).alias(f"_t{x}") for n, x in values.items()])
+    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)  # a row a chunk
+    carry = totals.select(CHUNK, *[folds[n].before(F.col(f"_t{x}")).over(before).alias(f"_c{x}") for n, x in values.items()])
+    frame = seq.window()
+    local = [monoid(folds[n].op).fold(F.col(x)).over(frame.rowsBetween(Window.unboundedPreceding, -1 if folds[n].exclusive else 0)).alias(f"_l{x}") for n, x in values.items()]
+    joined = df.select("*", *local).join(F.broadcast(carry), CHUNK)
+    results = {n: folds[n].result(F.col(f"_c{x}"), F.col(f"_l{x}")) for n, x in values.items()}
+    return joined.select(*[c for c in seq.df.columns if c not in folds], *[y.alias(n) for n, y in results.items()])
+
+
 def scan(seq: Sequence, value: str | Column, op: str | Monoid = "sum", out: str = "y", exclusive: bool = False, init=None) -> DataFrame:
     """Running fold. Inclusive: x0 .. xi, with ``init`` first if given. Exclusive: ``init`` and x0 .. x(i-1)."""
-    m = monoid(op)
-    value = F.col(value) if isinstance(value, str) else value
-    df = seq.chunked.withColumn("_x", value)
-    totals = df.groupBy(CHUNK).agg(m.fold(F.col("_x")).alias("_total"))
-    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)  # a row a chunk
-    carry = totals.select(F.col(CHUNK), m.fold(F.col("_total")).over(before).alias("_carry") if op != "count" else F.sum("_total").over(before).alias("_carry"))
-    last = -1 if exclusive else 0
-    local = m.fold(F.col("_x")).over(seq.window().rowsBetween(Window.unboundedPreceding, last))
-    df = df.withColumn("_local", local).join(F.broadcast(carry), CHUNK)
-    y = m.combine(F.col("_carry"), F.col("_local"))
-    if init is not None:
-        y = m.combine(F.lit(init) if not isinstance(init, Column) else init, y)
-    return df.withColumn(out, y).drop(CHUNK, "_x", "_local", "_carry")
+    return scan_many(seq, {out: Running(F.col(value) if isinstance(value, str) else value, op, exclusive, init)})
 
 
 def position(seq: Sequence, out: str = "pos") -> DataFrame:
@@ -179,10 +200,12 @@ def heads(seq: Sequence, keys: list[str], equal: Callable[[dict, dict], Column]
     return df.withColumn(out, F.col("_first") | ~same).drop("_first", *names.values())
 
 
-def islands(seq: Sequence, keys: list[str], equal=None, out: str = "island") -> DataFrame:
-    """0-based number of the run of consecutive equal ``keys`` that each row is in."""
-    df = heads(seq, keys, equal, "_head")
-    return scan(seq.with_df(df), F.col("_head").cast("long"), "sum", out).withColumn(out, F.col(out) - 1).drop("_head")
+def islands(seq: Sequence, keys: list[str], equal=None, out: str = "island", pos: str | None = None) -> DataFrame:
+    """0-based number of the run of consecutive equal ``keys`` that each row is in; and its position if asked."""
+    folds = {out: Running(F.col("_head").cast("long"), "sum", init=F.lit(-1).cast("long"))}
+    if pos:
+        folds[pos] = Running(F.lit(1), "count", exclusive=True)
+    return scan_many(seq.with_df(heads(seq, keys, equal, "_head")), folds).drop("_head")
 
 
 def scan_segments(seq: Sequence, segment: str, value: str | Column, op: str | Monoid = "sum", out: str = "y", exclusive: bool = False, init=None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import Sequence, islands, monoid, position
+from ..core import Sequence, islands, monoid
 from .scans import in_segments
 
 
@@ -27,7 +27,7 @@ def segmented_reduce(seq: Sequence, segments: DataFrame, segment: str, value: st
 
 def reduce_by_key(seq: Sequence, keys: list[str], aggregates: dict[str, Column], equal=None) -> DataFrame:
     """For each run of consecutive equal keys: its number, first keys, ``aggregates``, and rows."""
-    df = position(seq.with_df(islands(seq, keys, equal, "island")), "_pos")
+    df = islands(seq, keys, equal, "island", pos="_pos")
     first = [F.min_by(k, "_pos").alias(k) for k in keys]
     return df.groupBy("island").agg(*first, *[c.alias(n) for n, c in aggregates.items()], F.count("*").alias("run_length"))
 
@@ -38,7 +38,7 @@ def run_length_encode(seq: Sequence, *keys: str, equal=None) -> DataFrame:
 
 def non_trivial_runs(seq: Sequence, *keys: str, equal=None) -> DataFrame:
     """(start, run_length) of runs longer than one."""
-    df = position(seq.with_df(islands(seq, list(keys), equal, "island")), "_pos")
+    df = islands(seq, list(keys), equal, "island", pos="_pos")
     return df.groupBy("island").agg(F.min("_pos").alias("start"), F.count("*").alias("run_length")).where("run_length > 1").drop("island")
 
 
