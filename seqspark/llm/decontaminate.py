@@ -50,10 +50,13 @@ def postings(index: DataFrame, *columns: str) -> DataFrame:
     return index.select("row_id", *columns, F.posexplode("tokens").alias("position", "term"))
 
 
-def term_counts(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Occurrences in the index of each term of the phrases."""
+def term_counts(index: DataFrame, phrases: DataFrame, few: bool) -> DataFrame:
+    """Occurrences in the index of each term of the phrases; ``few``: the terms may be broadcast."""
     terms = phrases.select(F.explode("words").alias("term")).distinct()
-    found = postings(index).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
+    if few:
+        found = postings(index).join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    else:
+        found = postings(index).groupBy("term").agg(F.count("*").alias("n"))
     return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -64,12 +67,17 @@ def anchored(phrases: DataFrame, counts: DataFrame) -> DataFrame:
     return rarest.select("words", "items", F.col("r.term").alias("term"), F.col("r.offset").alias("offset"))
 
 
-def _occurrences(index: DataFrame, anchors: DataFrame, wide: int, holds) -> DataFrame:
+def _few(phrases: DataFrame) -> bool:
+    """Whether the phrases and their terms are small enough to broadcast."""
+    return phrases.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES
+
+
+def _occurrences(index: DataFrame, anchors: DataFrame, few: bool, wide: int, holds) -> DataFrame:
     """Anchors' postings joined to their phrases where ``holds(tokens, start)``; start: of the phrase.
 
     ``wide``: tokens needed on either side of a posting.
     """
-    if anchors.count() <= BROADCAST_PHRASES:
+    if few:
         at = postings(index.withColumn("n_words", F.size("tokens") - 1), "doc_id", "n_words", "tokens")
         start = F.col("position") - F.col("offset") + 1
         found = at.join(F.broadcast(anchors), "term").where(holds(F.col("tokens"), start))
@@ -88,14 +96,16 @@ def _with_head(anchors: DataFrame) -> DataFrame:
 
 def phrase_matches(index: DataFrame, phrases: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row_id, doc_id, n_words, start, length, items) of exact matches; start 0: the document itself."""
-    anchors = _with_head(anchored(phrases, term_counts(index, phrases)))
+    few = _few(phrases)
+    anchors = _with_head(anchored(phrases, term_counts(index, phrases, few)))
     exact = lambda tokens, start: (start >= 1) & (F.slice(tokens, F.greatest(start, F.lit(1)), F.size("words")) == F.col("words"))
-    return _occurrences(index, anchors, window, exact)
+    return _occurrences(index, anchors, few, window, exact)
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int, window: int = WINDOW) -> DataFrame:
     """(row_id, doc_id, start, length, items) where all words of a phrase stand, in any order, within its length plus ``slop``."""
-    anchors = anchored(phrases, term_counts(index, phrases))
+    few = _few(phrases)
+    anchors = anchored(phrases, term_counts(index, phrases, few))
     reach = F.size("words") + slop
 
     def holds(tokens: Column, start: Column) -> Column:
@@ -103,7 +113,7 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int, window: i
         firsts = F.sequence(F.greatest(at - reach + 1, F.lit(1)), at)
         return F.exists(firsts, lambda s: F.size(F.array_except(F.col("words"), F.slice(tokens, s, reach))) == 0)
 
-    return _occurrences(index, anchors, window + slop, holds).select("row_id", "doc_id", F.col("start"), "length", "items")
+    return _occurrences(index, anchors, few, window + slop, holds).select("row_id", "doc_id", F.col("start"), "length", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
