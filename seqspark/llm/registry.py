@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, decontaminate
+from . import bitsliced, decontaminate, suffix_dedup
 from .bitsliced import op2_exact_top_k
 from .bloom_lm import op1_lm_scoring
 from .decontaminate import op3_decontamination
@@ -40,4 +40,5 @@ def oracle_sql() -> dict[str, str]:
     return pipeline | {
         "op2_exact_top_k": bitsliced.ORACLE,
         "op3_decontamination": decontaminate.ORACLE,
+        "op4_suffix_dedup": suffix_dedup.ORACLE,
     }

@@ -3,16 +3,19 @@
 A byte of a document goes if a string of ``length`` (50) bytes over it also starts in a document with a
 smaller id. Whole texts are compared, in these steps:
 
+0. A text that a smaller id has whole goes whole; the rest works on texts without these copies.
 1. Every window of ``length`` bytes has a minimizer, the ``K`` bytes in it with the least hash; equal windows
    have equal minimizers. Minimizers in at least two rows are marked in a bit table (its size follows
    the input up to ``MAX_TABLE`` bits; a false mark only costs work).
-2. Windows in a row with one marked minimizer form a segment of at most ``2 * length`` bytes. Segments are
-   dealt to buckets by minimizer, distinct ones with the least id they come from. Minimizers met more
-   than ``HOT`` times are dealt window by window, by the window's hash, so no bucket grows with them.
-3. In each bucket the transform of all segments is built by inserting one symbol of every segment a
+2. Windows in a row with one marked minimizer form a segment of at most ``2 * length`` bytes. Equal
+   segments are found by key and hash (95 bits) and give their least id. Minimizers met more than ``HOT`` times are
+   dealt window by window, by the window's hash, so no group grows with them.
+3. Unlike segments with one minimizer may share windows too. Their bytes are dealt to buckets by
+   minimizer, and in each bucket the transform of all segments is built by inserting one symbol of every segment a
    round, from the last to the first; then common prefixes are extended column by column along the
    suffix order. Neighbours sharing ``length`` symbols are one string, whose least id is taken.
-4. Each segment's windows with their least ids are joined back to its occurrences, and documents cut.
+4. Least ids of segments, and of runs of their windows, are joined back to all occurrences; texts with a
+   hit (found by a bit table, then exactly) are joined to their spans and cut.
 
 Defined results: a null text is empty; texts under ``length`` bytes stay whole; matches never cross
 documents; rows of one id do not remove each other; an empty table gives no rows; columns other than id and
@@ -22,6 +25,7 @@ text are ignored. Rows without an id lose what any id has and remove nothing.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import stored
-from .textops import U64, chunks, prefix_hash, span_hash, utf8
+from .textops import BASE_INV, U64, chunks, mix64, powers, prefix_hash, span_hash, utf8
 
 LENGTH = 50
-K = 16
+K = 24
 HOT = 20_000
-MAX_TABLE = 1 << 30
-SEGMENT_BYTES, BUCKET_BYTES, BATCH_BYTES = 8 << 20, 6 << 20, 16 << 20
-FRACTION = 40
+COPY_BITS = 24
+MAX_TABLE = 1 << 29
+SEGMENT_BYTES, BUCKET_BYTES, BATCH_BYTES = 8 << 20, 6 << 20, 6 << 20
+FRACTION = 24
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -48,7 +53,7 @@ def minimizers(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarr
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
     h = prefix_hash(data)
-    least = span_hash(h, np.arange(len(data) - K + 1), np.arange(K, len(data) + 1))
+    least = mix64((h[K:] - h[:-K]) * powers(len(data) - K + 1, BASE_INV))
     step = 1
     while 2 * step <= width:
         least = np.minimum(least[:-step], least[step:])
@@ -66,12 +71,24 @@ def minimizers(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarr
     start = np.flatnonzero(first)
     total = np.concatenate([[0], np.cumsum(inside[1:])])
     run = np.diff(total[np.concatenate([start, [len(least)]])])
-    return start, least[start], run
+    return start, mix64(least[start] + U64(1)), run  # least values crowd near 0; mixed, they spread evenly
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _in_table(table: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    at = values & ((1 << bits) - 1)
+    return (table[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def _kept_rows(batch: pa.RecordBatch, copies: np.ndarray) -> pa.Array:
+    """Rows that are not in the table of copies, and those that were let in again."""
+    force = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+    return pa.array(force | ~_in_table(copies, batch.column(4).to_numpy(), COPY_BITS))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], copies: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, text keys, bytes, offsets) of some documents at a time."""
     for batch in batches:
+        batch = batch.filter(_kept_rows(batch, copies))
         ids, t = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         data, off = utf8(batch.column(1))
         for i, j in chunks(off):
@@ -79,17 +96,16 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 
 
 def _pack(h: np.ndarray) -> bytes:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : FRACTION // 8].tobytes()
+    """Ascending numbers as their steps, compressed."""
+    return zlib.compress(np.diff(h, prepend=U64(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    part = np.frombuffer(raw, np.uint8).reshape(-1, FRACTION // 8)
-    out = np.zeros((len(part), 8), np.uint8)
-    out[:, : FRACTION // 8] = part
-    return out.view("<u8").ravel()
+def _unpack(raws) -> np.ndarray:
+    parts = [np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for raw in raws]
+    return np.concatenate([np.cumsum(p, dtype=U64) for p in parts]) if parts else np.zeros(0, U64)
 
 
-def marks(docs: DataFrame, length: int, bits: int, table_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def marks(docs: DataFrame, length: int, bits: int, table_bits: int, copies) -> tuple[np.ndarray, np.ndarray]:
     """Bit tables, by the first bits of the hash, of shared and of hot minimizers.
 
     A segment holds the hashes with the same first ``bits`` bits and so a stretch of either table.
@@ -106,8 +122,11 @@ def marks(docs: DataFrame, length: int, bits: int, table_bits: int) -> tuple[np.
             return pa.RecordBatch.from_arrays([pa.array(np.arange(1 << bits, dtype=np.int32)), *[pa.array(c, pa.binary()) for c in columns]], ["segment", "once", "more", "counts"])
 
         held, size = [], 0
-        for _, _, data, off in _texts(batches):
-            held.append(minimizers(data, off, length)[1])
+        for _, _, data, off in _texts(batches, copies.value):
+            start, h, _ = minimizers(data, off, length)
+            owner = np.searchsorted(off, start, "right").astype(U64)
+            _, once = np.unique(mix64(h + owner * U64(0x9E3779B97F4A7C15)), return_index=True)
+            held.append(h[once])  # each minimizer once for each document
             size += len(data)
             if size >= BATCH_BYTES:
                 yield flush(held)
@@ -116,7 +135,7 @@ def marks(docs: DataFrame, length: int, bits: int, table_bits: int) -> tuple[np.
             yield flush(held)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        once, more = _unpack(b"".join(pdf.once)), _unpack(b"".join(pdf.more))
+        once, more = _unpack(pdf.once), _unpack(pdf.more)
         h = np.concatenate([once, more])
         n = np.concatenate([np.ones(len(once), np.int64), np.frombuffer(b"".join(pdf.counts), np.uint32).astype(np.int64)])
         order = np.argsort(h, kind="stable")
@@ -150,7 +169,7 @@ def _marked(table: np.ndarray, h: np.ndarray, table_bits: int) -> np.ndarray:
 
 
 def segments(data, off, length, shared, hot, table_bits):
-    """(start, end, minimizer, hash, hot) of the segments with marked minimizers."""
+    """(start, end, key, hash) of the segments with marked minimizers; key: the minimizer, or the hash of a hot one's window."""
     start, h, run = minimizers(data, off, length)
     keep = _marked(shared, h, table_bits)
     start, h, run = start[keep], h[keep], run[keep]
@@ -159,7 +178,8 @@ def segments(data, off, length, shared, hot, table_bits):
     pieces = -(-run // size)
     at = np.repeat(start, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * np.repeat(size, pieces)
     end = np.minimum(at + np.repeat(size, pieces), np.repeat(start + run, pieces)) + length - 1
-    return at, end, np.repeat(h, pieces), span_hash(prefix_hash(data), at, end), np.repeat(is_hot, pieces)
+    own = span_hash(prefix_hash(data), at, end)
+    return at, end, np.where(np.repeat(is_hot, pieces), own, np.repeat(h, pieces)), own
 
 
 def transform(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -230,106 +250,163 @@ def least_ids(data: np.ndarray, off: np.ndarray, ids: np.ndarray, length: int) -
     return out, woff
 
 
-def _runs(values: np.ndarray) -> bytes:
-    """Window runs with one least id, as (first window, windows, id) int64 triples."""
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    return np.stack([first, np.diff(np.concatenate([first, [len(values)]])), values[first]], axis=1).astype("<i8").tobytes()
+def _bit_table(ids: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bits set at the values of a long column modulo 2**bits."""
+    place = ids.select(F.pmod(F.col(column), F.lit(1 << bits)).alias("p")).selectExpr("cast(p div 64 as int) AS word", "shiftleft(1L, cast(p % 64 as int)) AS bit")
+    got = place.groupBy("word").agg(F.bit_or("bit").alias("b")).toArrow()  # 2**bits / 64 rows at most
+    table = np.zeros((1 << bits) // 64, np.int64)
+    table[got["word"].to_numpy()] = got["b"].to_numpy()
+    return table
+
+
+def _narrow(h: np.ndarray) -> np.ndarray:
+    """A minimizer's group: 31 bits of its hash; unlike minimizers in one group only share a transform."""
+    return (h >> U64(33)).astype(np.int64)
+
+
+def _split_copies(rows: DataFrame, length: int):
+    """Rows whose text an id below theirs has whole, the other rows, and the table that tells them apart.
+
+    The table has false hits; rows it names wrongly are found by an exact join and let in again (``force``).
+    """
+    key = [F.col("t"), F.octet_length("text").alias("n"), F.crc32("text").alias("c")]
+    keyed = rows.where(F.octet_length("text") >= length).select("doc_id", "r", *key)
+    first = keyed.groupBy("t", "n", "c").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    copied = stored(keyed.join(first, ["t", "n", "c"]).where("doc_id > low").select("doc_id", "t", "r").distinct(), "copies")
+    copies = rows.sparkSession.sparkContext.broadcast(_bit_table(copied, "r", COPY_BITS))
+
+    def named(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_in_table(copies.value, batch.column(4).to_numpy(), COPY_BITS)))
+
+    maybe = rows.mapInArrow(named, rows.schema)
+    gone = maybe.join(copied, ["doc_id", "t", "r"], "left_semi")
+    wrong = stored(maybe.join(copied, ["doc_id", "t", "r"], "left_anti").select(*rows.columns), "again").withColumn("force", F.lit(True))
+    return gone, rows.union(wrong), copies
 
 
 def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"), F.lit(False).alias("force"))
+    rows = rows.withColumn("r", F.xxhash64("doc_id", "t"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     bits = max(4, int(n_bytes // SEGMENT_BYTES).bit_length())
-    table_bits = min(max(int(n_bytes * 0.6).bit_length(), 20), MAX_TABLE.bit_length() - 1)
-    tables = rows.sparkSession.sparkContext.broadcast(marks(rows, length, bits, table_bits))
+    table_bits = min(max(int(n_bytes * 0.15).bit_length(), 20), MAX_TABLE.bit_length() - 1)
+    context = rows.sparkSession.sparkContext
+    gone, rows, copies = _split_copies(rows, length)
+    tables = context.broadcast(marks(rows, length, bits, table_bits, copies))
     buckets = n_bytes // BUCKET_BYTES + 1
 
-    def emit(batches):
-        def flush(held):
-            if not held:
-                return None
-            keys = {}
-            bucket, mini, hashes, texts, ids, many = [], [], [], [], [], []
-            for h, s, b, text, i in held:
-                n = keys.get((h, s))
-                if n is None:
-                    keys[h, s] = len(mini)
-                    bucket.append(b), mini.append(h), hashes.append(s), texts.append(text), ids.append(i), many.append(False)
-                elif ids[n] != i:
-                    ids[n], many[n] = min(ids[n], i), True
-            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(mini, pa.int64()), pa.array(hashes, pa.int64()), pa.array(texts, pa.binary()), pa.array(ids, pa.int64()), pa.array(many, pa.bool_())], ["bucket", "m", "s", "segment", "doc_id", "many"])
+    def occur(batches):
+        for ids, t, data, off in _texts(batches, copies.value):
+            a, b, h, s = segments(data, off, length, *tables.value, table_bits)
+            if len(a):
+                d = np.searchsorted(off, a, "right") - 1
+                columns = [_narrow(h), s.view(np.int64), ids[d], t[d], (a - off[d]).astype(np.int32), (b - a - length + 1).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["m", "s", "doc_id", "t", "at", "windows"])
 
-        held, size = [], 0
-        for ids, _, data, off in _texts(batches):
-            a, b, h, s, is_hot = segments(data, off, length, *tables.value, table_bits)
-            if not len(a):
-                continue
-            owner = ids[np.searchsorted(off, a, "right") - 1]
-            bucket = (np.where(is_hot, s, h) % U64(buckets)).astype(np.int64)
+    met = rows.mapInArrow(occur, "m long, s long, doc_id long, t long, at int, windows int")
+    distinct = stored(met.groupBy("m", "s").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).select("m", "s", F.when(F.col("low") < F.col("high"), F.col("low")).alias("low")), "segments")
+    mixed = distinct.groupBy("m").agg(F.count("*").alias("n")).where("n > 1")
+    mixed_bits = min(table_bits, 25)
+    mixed_table = context.broadcast(_bit_table(mixed, "m", mixed_bits))
+
+    def emit(batches):
+        for ids, _, data, off in _texts(batches, copies.value):
+            a, b, h, s = segments(data, off, length, *tables.value, table_bits)
+            m = _narrow(h)
+            keep = np.flatnonzero(_in_table(mixed_table.value, m, mixed_bits))
+            keep = keep[np.lexsort((ids[np.searchsorted(off, a[keep], "right") - 1], s[keep], m[keep]))]
+            k = keep[np.concatenate([[True], (m[keep][1:] != m[keep][:-1]) | (s[keep][1:] != s[keep][:-1])])] if len(keep) else keep  # least id of each in the chunk
             raw = data.tobytes()
-            held += zip(h.view(np.int64).tolist(), s.view(np.int64).tolist(), bucket.tolist(), [raw[x:y] for x, y in zip(a.tolist(), b.tolist())], owner.tolist())
-            size += len(a)
-            if size > 100_000:
-                yield flush(held)
-                held, size = [], 0
-        if held:
-            yield flush(held)
+            columns = [pa.array(m[k] % buckets), pa.array(m[k]), pa.array(s[k].view(np.int64)), pa.array([raw[x:y] for x, y in zip(a[k].tolist(), b[k].tolist())], pa.binary()), pa.array(ids[np.searchsorted(off, a[k], "right") - 1])]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "m", "s", "segment", "doc_id"])
 
     def sort_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.groupby(["m", "s"], sort=False).agg(segment=("segment", "first"), low=("doc_id", "min"), high=("doc_id", "max"), many=("many", "any")).reset_index()
-        size = one.segment.map(len).to_numpy()
-        off = np.concatenate([[0], np.cumsum(size)])
-        data = np.frombuffer(b"".join(one.segment), np.uint8)
-        low, woff = least_ids(data, off, one.low.to_numpy(), length)
-        news = (np.minimum.reduceat(low, woff[:-1]) < one.low.to_numpy()) | one.many.to_numpy() | (one.low != one.high).to_numpy()
-        keep = np.flatnonzero(news)
-        return pd.DataFrame({"m": one.m.to_numpy()[keep], "s": one.s.to_numpy()[keep], "runs": [_runs(low[woff[i] : woff[i + 1]]) for i in keep]})
-
-    def occur(batches):
-        for ids, t, data, off in _texts(batches):
-            a, b, h, s, _ = segments(data, off, length, *tables.value, table_bits)
-            if len(a):
-                d = np.searchsorted(off, a, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(ids[d]), pa.array(t[d]), pa.array((a - off[d]).astype(np.int32))], ["m", "s", "doc_id", "t", "at"])
+        order = np.lexsort((pdf.s.to_numpy(), pdf.m.to_numpy()))
+        m, t, ids = pdf.m.to_numpy()[order], pdf.s.to_numpy()[order], pdf.doc_id.to_numpy()[order]
+        first = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (t[1:] != t[:-1])]))
+        own, m, t, texts = np.minimum.reduceat(ids, first), m[first], t[first], pdf.segment.to_numpy()[order[first]]
+        windows = np.fromiter(map(len, texts), np.int64, len(texts)) - length + 1
+        woff = np.concatenate([[0], np.cumsum(windows)])
+        low, _ = least_ids(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(windows + length - 1)]), own, length)
+        keep = np.flatnonzero(np.minimum.reduceat(low, woff[:-1]) < own)
+        starts = np.zeros(len(low), bool)
+        starts[0], starts[1:] = True, low[1:] != low[:-1]
+        starts[woff[:-1]] = True
+        at = np.flatnonzero(starts)
+        triple = np.stack([at - np.repeat(woff[:-1], windows)[at], np.diff(np.concatenate([at, [len(low)]])), low[at]], axis=1).astype("<i8")
+        raw, edge = triple.tobytes(), 24 * np.searchsorted(at, woff)
+        return pd.DataFrame({"m": m[keep], "s": t[keep], "runs": [raw[edge[i] : edge[i + 1]] for i in keep]})
+
+    crossed = rows.mapInArrow(emit, "bucket long, m long, s long, segment binary, doc_id long").groupBy("bucket").applyInPandas(sort_out, "m long, s long, runs binary")
+    known = distinct.where("low IS NOT NULL").join(crossed, ["m", "s"], "full").select("m", "s", F.coalesce("low", F.lit(NO_ID)).alias("low"), "runs")
 
     def ranges(batches):
         for batch in batches:
-            ids, t, at = (batch.column(k).to_numpy() for k in range(3))
-            sizes = [len(r.as_buffer()) // 24 for r in batch.column(3)]
-            r = np.frombuffer(b"".join(x.as_buffer() for x in batch.column(3)), "<i8").reshape(-1, 3)
-            who = np.repeat(np.arange(len(ids)), sizes)
+            ids, t, at, windows, low = (batch.column(k).to_numpy() for k in range(5))
+            whole = ids > low
+            part = np.flatnonzero(~whole)
+            runs = batch.column(5).take(pa.array(part))
+            sizes = np.array([len(r.as_buffer()) // 24 for r in runs], np.int64)
+            r = np.frombuffer(b"".join(x.as_buffer() for x in runs), "<i8").reshape(-1, 3)
+            who = np.repeat(part, sizes)
             ok = r[:, 2] < ids[who]
             who, r = who[ok], r[ok]
-            first = at[who] + r[:, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(t[who]), pa.array(first.astype(np.int32)), pa.array((first + r[:, 1] + length - 1).astype(np.int32))], ["doc_id", "t", "a", "b"])
+            rows_ = np.concatenate([np.flatnonzero(whole), who])
+            first = np.concatenate([at[whole], at[who] + r[:, 0]])
+            n = np.concatenate([windows[whole], r[:, 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows_]), pa.array(t[rows_]), pa.array(first.astype(np.int32)), pa.array((first + n + length - 1).astype(np.int32))], ["doc_id", "t", "a", "b"])
+
+    hits = met.join(known, ["m", "s"]).where("doc_id > low OR runs IS NOT NULL").select("doc_id", "t", "at", "windows", "low", "runs").mapInArrow(ranges, "doc_id long, t long, a int, b int")
 
-    found = rows.mapInArrow(emit, "bucket long, m long, s long, segment binary, doc_id long, many boolean").groupBy("bucket").applyInPandas(sort_out, "m long, s long, runs binary")
-    hits = rows.mapInArrow(occur, "m long, s long, doc_id long, t long, at int").join(found, ["m", "s"]).select("doc_id", "t", "at", "runs").mapInArrow(ranges, "doc_id long, t long, a int, b int")
-    spans = stored(hits.groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
-    joined = rows.join(spans, ["doc_id", "t"], "left").select("doc_id", "text", "spans")
+    def united(batches):
+        for batch in batches:
+            out = []
+            for spans in batch.column(2):
+                a, b = spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy()
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], np.maximum.accumulate(b[order])
+                opens = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+                out.append(np.stack([a[opens], b[np.concatenate([opens[1:] - 1, [len(b) - 1]])]], axis=1).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "t", "spans"])
+
+    found = hits.groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = stored(found.mapInArrow(united, "doc_id long, t long, spans array<int>"), "spans")
+    cut_bits = 24
+    cut_table = context.broadcast(_bit_table(spans, "t", cut_bits))
+
+    def pick(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                batch = batch.filter(_kept_rows(batch, copies.value))
+                yield batch.filter(pa.array(_in_table(cut_table.value, batch.column(2).to_numpy(), cut_bits) == wanted)).select([0, 1, 2])
+
+        return run
+
+    def packed(batches):
+        for batch in pick(True)(batches):
+            yield batch.set_column(1, "text", pa.array([zlib.compress((x or "").encode(), 1) for x in batch.column(1).to_pylist()], pa.binary()))
 
     def cut(batches):
         for batch in batches:
             n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2)):
-                raw = (text or "").encode()
-                done, parts, count, gone = 0, [], 0, 0
-                if spans.is_valid:
-                    pairs = spans.values
-                    a, b = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
-                    order = np.argsort(a, kind="stable")
-                    a, b = a[order], np.maximum.accumulate(b[order])
-                    opens = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
-                    for x, y in zip(a[opens].tolist(), b[np.concatenate([opens[1:] - 1, [len(b) - 1]])].tolist()):
-                        parts.append(raw[done:x])
-                        done, count, gone = y, count + 1, gone + y - x
+            for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
+                raw, done, parts, gone_ = zlib.decompress(text.as_buffer()), 0, [], 0
+                spans = spans or []
+                for x, y in zip(spans[::2], spans[1::2]):
+                    parts.append(raw[done:x])
+                    done, gone_ = y, gone_ + y - x
                 parts.append(raw[done:])
-                n_bytes.append(len(raw)), n_removed.append(gone), n_spans.append(count), kept.append(b"".join(parts))
+                n_bytes.append(len(raw)), n_removed.append(gone_), n_spans.append(len(spans) // 2), kept.append(b"".join(parts))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    touched = rows.mapInArrow(packed, "doc_id long, text binary, t long").join(spans, ["doc_id", "t"], "left").select("doc_id", "text", "spans")
+    changed = touched.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    zero, size = F.lit(0).cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    whole = rows.mapInArrow(pick(False), "doc_id long, text string, t long").select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"))
+    empty = gone.select("doc_id", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast("binary").alias("kept"))
+    return changed.union(whole).union(empty).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -341,3 +418,18 @@ def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 def digest(kept: bytes) -> str:
     return hashlib.sha256(kept).hexdigest()
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS k FROM d)),
+m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s),
+hit AS (SELECT w.doc_id, w.k FROM w JOIN m USING (s) WHERE m.low < w.doc_id),
+g AS (SELECT *, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50 THEN 0 ELSE 1 END AS first FROM hit),
+r AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY k) AS span FROM g),
+spans AS (SELECT doc_id, span, min(k) AS a, max(k) + 50 AS b FROM r GROUP BY doc_id, span),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS done FROM spans),
+parts AS (SELECT d.doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) AS kept, max(b) AS last FROM cuts JOIN d USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN parts USING (doc_id)
+"""

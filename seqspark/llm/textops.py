@@ -6,7 +6,6 @@ They run inside Arrow tasks; Spark deals the rows. Nulls count as empty texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,16 +60,16 @@ def chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-@cache
-def _powers(size: int, base: int) -> np.ndarray:
-    out = np.full(size, base, dtype=U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_tables: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: int = BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    return _powers(1 << max(12, int(n - 1).bit_length()), base)[:n]
+    """base**0 .. base**(n-1) modulo 2**64; the longest table so far is kept."""
+    if base not in _tables or len(_tables[base]) < n:
+        table = np.full(max(n, 1 << 16), base, dtype=U64)
+        table[0] = 1
+        _tables[base] = np.multiply.accumulate(table)
+    return _tables[base][:n]
 
 
 def words(low: np.ndarray, off: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
