@@ -31,6 +31,7 @@ REJECT = 0.4
 UND = "und"
 #: Documents made into one dense count matrix at once.
 ROWS = 128
+BROADCAST_LANGS = 10_000
 
 #: Letters and bytes of other scripts stand for themselves, digits for one digit, the rest for a space.
 SHAPE = LOWER.copy()
@@ -121,7 +122,10 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         return None
     idf = np.log((1 + df[DIMS]) / (1 + df[:DIMS])).astype(np.float32) + np.float32(0.1)
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    per = max(8, sample_docs // max(1, sizes.count()))
+    n_langs = sizes.count()
+    per = max(8, sample_docs // max(1, n_langs))
+    if n_langs <= BROADCAST_LANGS:  # else texts meet the sizes by a shuffle
+        sizes = F.broadcast(sizes)
     share = F.least(F.lit(1.0), F.lit(float(per)) / F.col("n"))
     sample = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= share * (1 << 20)).select("lang", "doc_id", "text")
 
