@@ -38,11 +38,11 @@ from .tables import stored
 from .textops import BASE_INV, U64, chunks, mix64, powers, prefix_hash, span_hash, utf8
 
 LENGTH = 50
-K = 24
+K = 32
 HOT = 20_000
 COPY_BITS = 24
 MAX_TABLE = 1 << 29
-SEGMENT_BYTES, BUCKET_BYTES, BATCH_BYTES = 8 << 20, 6 << 20, 6 << 20
+SEGMENT_BYTES, BUCKET_BYTES, BATCH_BYTES = 8 << 20, 2 << 20, 6 << 20
 FRACTION = 24
 NO_ID = np.iinfo(np.int64).max
 
