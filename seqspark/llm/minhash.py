@@ -57,7 +57,7 @@ def shingle_sets(texts: pa.Array, size: int, keep: np.ndarray | None = None) ->
         w, counts = word_hashes(LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i], SPACE)
         at, sets = 0, []
         mixed = np.zeros(len(w), U64)
-        for k in range(size):
+        for k in range(min(size, len(w))):
             mixed[: len(w) - k] = mix64(mixed[: len(w) - k] * U64(0x9E3779B97F4A7C15) + w[k:] + U64(k + 1))
         for d in range(i, j):
             n = int(counts[d - i])

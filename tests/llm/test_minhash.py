@@ -1,8 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
+
 from seqspark.llm.graph import components
-from seqspark.llm.minhash import near_duplicates, op9_minhash_near_dedup
+from seqspark.llm.minhash import near_duplicates, op9_minhash_near_dedup, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -63,3 +65,10 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 50), (60, 70), (70, 60)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(31)}, 60: 60, 70: 60}
+
+
+def test_few_words_alone_in_a_chunk():
+    for n in range(7):
+        texts = pa.array([" ".join(f"w{k}" for k in range(n))])
+        for size in (3, 5):
+            assert [len(h) for _, _, h, _ in shingle_sets(texts, size)] == [min(n, 1) if n < size else n - size + 1]
