@@ -16,11 +16,23 @@ from seqspark.llm.tables import stored, table
 
 #: No SQL expresses these stages; tests compare them with brute force.
 ORACLE_SQL = None
+#: Column of the key that decisions on rows are made by, inside a stage.
+KEY = "_row_key"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not among ``ids``; rows without an id stay."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a stored key of each row: a doc_id may be null or stand in several rows."""
+    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    """What operators see: the row's key as doc_id, and the text."""
+    return keyed.select(F.col(KEY).alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose key is not a doc_id of ``found``, without the key."""
+    return keyed.join(found.select(F.col("doc_id").alias(KEY)), KEY, "left_anti").drop(KEY)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +42,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates stays, once."""
-    found = minhash.near_duplicates(docs, minhash.SHINGLE_WORDS, minhash.SIMILARITY)
-    return _without(docs, found.where(~F.col("kept"))).distinct()
+    """The row with the least id of each group of near duplicates stays; one without an id only where all are."""
+    keyed = _keyed(docs)
+    found = minhash.near_duplicates(_by_key(keyed), minhash.SHINGLE_WORDS, minhash.SIMILARITY)
+    groups = stored(found.join(keyed.select(F.col(KEY).alias("doc_id"), F.col("doc_id").alias("own")), "doc_id"), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "doc_id")).getField("doc_id").alias("doc_id"))
+    return _without(keyed, groups.join(first, "doc_id", "left_anti")).distinct()
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    keyed = _keyed(docs)
+    found = decontaminate.contamination(_by_key(keyed), table(spark, sf_dir, "benchmark"))
+    return _without(keyed, found.where("contaminated"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

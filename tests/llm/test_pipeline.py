@@ -52,3 +52,21 @@ def test_empty_table(spark):
     for _, stage in C.STAGES:
         docs = stored(stage(spark, docs, sf), "empty")
         assert docs.count() == 0
+
+
+def test_rows_are_judged_by_row_not_by_id(spark):
+    sf = "/root/testdata/sf0.001"
+    shape = "doc_id long, text string, n_chars long"
+    passage = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    texts = [" ".join(f"{k}w{i}" for i in range(60)) for k in "abc"]
+    near_b = texts[1] + " tail"
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (None, near_b), (7, texts[2]), (7, texts[0] + " tail"), (8, None), (8, None), (None, "")]
+    docs = stored(spark.createDataFrame([(*r, 0) for r in rows], shape).repartition(3), "in")
+    got = [(r.doc_id, r.text) for r in C.near_dedup(spark, docs, sf).collect()]
+    assert sum(r in got for r in [(None, texts[1]), (None, near_b)]) == 1
+    assert {*got} - {(None, texts[1]), (None, near_b)} == {(1, texts[0]), (7, texts[2]), (8, None), (None, "")}
+    assert len(got) == 5
+    rows = [(None, "x " + passage), (None, "clean words"), (5, passage + " y"), (5, "other clean words")]
+    docs = stored(spark.createDataFrame([(*r, 0) for r in rows], shape), "in")
+    got = {(r.doc_id, r.text) for r in C.decontaminated(spark, docs, sf).collect()}
+    assert got == {(None, "clean words"), (5, "other clean words")}
