@@ -2,20 +2,21 @@
 
 Counting: each task counts the distinct words and word pairs of about 6 MB of training text at a time,
 as hashes, and deals them by hash to segments, where counts are summed. A count ``c`` has the level
-``1 + floor(2 * log2(c / least))``, and a filter entry is made for each of an n-gram's levels; pairs
-start at two occurrences. Each segment has its own bits, ``BITS`` for an entry. ``least`` rises, pairs
-first, only where all entries would not fit ``MAX_ENTRIES``, so the filter that is broadcast has a fixed
-bound (64 MB) at any corpus size.
-
-Scoring: the level of an n-gram is the number of probes, level by level, until one misses. Words have
-the probability (1 - u) * q(w) / sum(q), words below the filter's counts share u, the share of training
-tokens seen once or below those counts. A pair has the probability l * q(h, w) / q(h) + (1 - l) * P(w); quantised
-counts are rounded down for pairs and up for contexts, so that no context's probabilities sum to more
-than one but for false hits. l depends on the level of h and is fitted by expectation-maximisation,
-each text left out of its own counts, on a bounded sample (``SAMPLE_DOCS`` training texts).
-
-The base score needs exact counts: texts are dealt by id to blocks of about 6 MB, each block asks
-the segments for its distinct words once, and scores its texts from the answers.
+``1 + floor(2 * log2(c))``, and a filter entry is made for each of an n-gram's levels. Each segment has
+its own bits, ``BITS`` for an entry, and is stored as a row, so the filter grows with the training text
+and no n-gram is left out of it, whatever its count and the size of the input.
+
+Scoring: texts are dealt by id to blocks of about 6 MB; each block asks the segments for its distinct
+words and pairs once. The level of an n-gram is the number of probes of its segment's bits, level by
+level, until one misses. Words have the probability (1 - u) * q(w) / sum(q), unknown ones share u, the
+share of training tokens seen once. A pair has the probability l * q(h, w) / q(h) + (1 - l) * P(w);
+quantised counts are rounded down for pairs and up for contexts, so that no context's probabilities sum
+to more than one but for false hits. l depends on the level of h and is fitted by
+expectation-maximisation, each text left out of its own counts: a token matters only by the levels of
+its context, pair and word, so the tokens of all training texts are counted by these three, exactly,
+and the rounds run over that table, whose size depends on the levels only.
+
+The base score needs exact counts, which the segments answer together with the levels.
 
 Defined results: a null or empty text is one end token; repeated rows give repeated rows; without
 training rows all probabilities are 1; an empty table gives no rows; other columns are ignored.
@@ -35,9 +36,7 @@ from .tables import stored
 from .textops import LOWER, SPACE, U64, chunks, mix64, utf8, word_hashes
 
 BITS, PROBES = 12, 6
-MAX_ENTRIES = (1 << 29) // BITS
 LEVELS = 130
-SAMPLE_DOCS = 400
 BATCH_BYTES = 6 << 20
 SEGMENT_BYTES = 8 << 20
 END, BEGIN = U64(0x51ED270B9F3C1A55), U64(0x2545F4914F6CDD1D)
@@ -103,11 +102,11 @@ def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 COUNTED = "segment int, words binary, word_counts binary, once binary, more binary, more_counts binary"
-MERGED = "segment int, words binary, word_counts binary, pairs binary, pair_counts binary, n_tokens long, n_types long, levels array<array<long>>"
+MERGED = "segment int, words binary, word_counts binary, bits binary, n_tokens long, n_types long, q double, rare long"
 
 
 def count(train: DataFrame, bits: int) -> DataFrame:
-    """Exact word counts and pair counts (two at least) by segment. ``train``: one text column."""
+    """Exact word counts and the filter's bits by segment. ``train``: one text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts):
@@ -140,16 +139,14 @@ def count(train: DataFrame, bits: int) -> DataFrame:
         w, n = _summed(np.frombuffer(b"".join(pdf.words), U64), np.frombuffer(b"".join(pdf.word_counts), np.int64))
         once, more = _unpack(b"".join(pdf.once)), _unpack(b"".join(pdf.more))
         p, m = _summed(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), np.frombuffer(b"".join(pdf.more_counts), np.int64)]))
-        p, m = p[m > 1], m[m > 1]
-        exact = [np.bincount(np.minimum(level_of(x, 1), LEVELS - 1), minlength=LEVELS) for x in (n, m)]
-        exact += [np.bincount(np.minimum(level_of(n, 1), LEVELS - 1), weights=n, minlength=LEVELS).astype(np.int64)]
-        return pd.DataFrame({"segment": [pdf.segment.iloc[0]], "words": [w.tobytes()], "word_counts": [n.tobytes()], "pairs": [p.astype(U64).tobytes()], "pair_counts": [m.tobytes()], "n_tokens": [int(n.sum())], "n_types": [len(w)], "levels": [[x.tolist() for x in exact]]})
+        q = float((value_of(level_of(n, 1), 1) * 2**0.25).sum())
+        return pd.DataFrame({"segment": [pdf.segment.iloc[0]], "words": [w.tobytes()], "word_counts": [n.tobytes()], "bits": [_segment_bits(w, n, p.astype(U64), m).tobytes()], "n_tokens": [int(n.sum())], "n_types": [len(w)], "q": [q], "rare": [int((n == 1).sum())]})
 
     return train.mapInArrow(run, COUNTED).groupBy("segment").applyInPandas(merge, MERGED)
 
 
 class Filter:
-    """Bits of all segments one after another; ``start``: first bit of each segment."""
+    """Bits of segments one after another; ``start``: first bit of each segment."""
 
     def __init__(self, words: np.ndarray, start: np.ndarray, bits: int):
         self.words, self.start, self.bits = words, start, bits
@@ -166,12 +163,14 @@ class Filter:
         return hit
 
     def level(self, hashes: np.ndarray, order: int) -> np.ndarray:
-        """Probes of each n-gram, level by level, until one misses."""
-        out = np.zeros(len(hashes), np.int64)
+        return self.probe((hashes >> U64(64 - self.bits)).astype(np.int64), hashes if order == 1 else fraction(hashes, self.bits), order)
+
+    def probe(self, segment: np.ndarray, item: np.ndarray, order: int) -> np.ndarray:
+        """Probes of each n-gram, level by level, until one misses. ``item``: its hash, or a pair's fraction."""
+        out = np.zeros(len(item), np.int64)
         if not len(self.words):
             return out
-        left, segment = np.arange(len(hashes)), (hashes >> U64(64 - self.bits)).astype(np.int64)
-        item = hashes if order == 1 else fraction(hashes, self.bits)
+        left = np.arange(len(item))
         for level in range(1, LEVELS):
             left = left[self._hit(segment[left], entry_key(item[left], order, level))]
             if not len(left):
@@ -184,13 +183,12 @@ def entry_key(item: np.ndarray, order: int, level: int | np.ndarray) -> np.ndarr
     return mix64(item ^ U64(0xD6E8FEB86659FD93 if order == 1 else 0xADD0CB2CB32F7B26)) + np.atleast_1d(level).astype(U64) * U64(0xA0761D6478BD642F)
 
 
-def _segment_bits(words, word_counts, pairs_, pair_counts, least: tuple[int, int]) -> np.ndarray:
+def _segment_bits(words: np.ndarray, word_counts: np.ndarray, pairs_: np.ndarray, pair_counts: np.ndarray) -> np.ndarray:
     keys = []
     for order, h, n in ((1, words, word_counts), (2, pairs_, pair_counts)):
-        level = level_of(n, least[order - 1])
-        h, level = h[level > 0], level[level > 0]
-        each = np.concatenate([np.arange(1, k + 1) for k in level]) if len(level) else level
-        keys.append(entry_key(np.repeat(h, level), order, each))
+        level = np.minimum(level_of(n, 1), LEVELS - 1)
+        at = np.arange(level.sum()) - np.repeat(np.cumsum(level) - level, level)
+        keys.append(entry_key(np.repeat(h, level), order, at + 1))
     key = np.concatenate(keys)
     size = -(-len(key) * BITS // 64) * 64
     bits = np.zeros(size, bool)
@@ -202,81 +200,82 @@ def _segment_bits(words, word_counts, pairs_, pair_counts, least: tuple[int, int
 
 
 class Model:
-    def __init__(self, table: Filter, least: tuple[int, int], unknown: float, total: float):
-        self.table, self.least, self.unknown, self.total = table, least, unknown, total
+    """Probabilities of tokens by the levels of their context, pair and word. ``table``: for texts at hand."""
+
+    def __init__(self, table: Filter | None, unknown: float, total: float):
+        self.table, self.unknown, self.total = table, unknown, total
         self.share = np.zeros(LEVELS)
 
+    def of_levels(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray, left_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """P(w) and the pair's share of its context."""
+        one = np.where(word > 0, (1 - self.unknown) * value_of(word, 1) * 2**0.25 / max(self.total, 1.0), self.unknown)
+        two = value_of(pair, 1)
+        if left_out:
+            two = np.where(two >= 2, two - 1, 0.0)
+        return one, np.minimum(1.0, two / np.maximum(value_of(context + 1, 1), 1.0)) * (context > 0)
+
+    def levels(self, token: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Levels of the context, pair and word of each token, by ``table``."""
+        before, pair = pairs(token, off)
+        return self.table.level(before, 1), self.table.level(pair, 2), self.table.level(token, 1)
+
     def parts(self, token: np.ndarray, off: np.ndarray, left_out: bool = False):
         """P(w), the pair's share of its context, and the context's level, of each token."""
-        before, pair = pairs(token, off)
-        types, at = np.unique(token, return_inverse=True)
-        word_level = self.table.level(types, 1)
-        q = value_of(word_level, self.least[0]) * 2**0.25
-        one = np.where(word_level > 0, (1 - self.unknown) * q / max(self.total, 1.0), self.unknown)[at]
-        contexts, where = np.unique(before, return_inverse=True)
-        context_level = self.table.level(contexts, 1)
-        context = value_of(context_level + 1, self.least[0])
-        kinds, which = np.unique(pair, return_inverse=True)
-        two = value_of(self.table.level(kinds, 2), self.least[1])
-        if left_out:
-            two = np.where(two >= self.least[1] + 1, two - 1, 0.0)
-        ratio = np.minimum(1.0, two[which] / np.maximum(context[where], 1.0)) * (context_level[where] > 0)
-        return one, ratio, context_level[where]
+        found = self.levels(token, off)
+        return *self.of_levels(*found, left_out), found[0]
+
+    def fit(self, texts: list[str | None]) -> None:
+        """``fit_counts`` of texts at hand."""
+        if texts:
+            self.fit_counts(*np.unique(_code(*self.levels(*tokens(pa.array(texts, pa.large_string())))), return_counts=True))
 
-    def fit(self, texts: list[str | None], rounds: int = 25) -> None:
+    def fit_counts(self, code: np.ndarray, n: np.ndarray, rounds: int = 25) -> None:
         """Share of the pair model by the level of the context, each text left out of its own counts."""
-        if not texts:
-            return
-        one, ratio, level = self.parts(*tokens(pa.array(texts, pa.large_string())), left_out=True)
-        share, n = np.full(LEVELS, 0.1), np.bincount(level, minlength=LEVELS)
+        found = _levels(code)
+        one, ratio = self.of_levels(*found, left_out=True)
+        level, share = found[0], np.full(LEVELS, 0.1)
+        total = np.bincount(level, n, LEVELS)
         for _ in range(rounds):
             a, b = share[level] * ratio, (1 - share[level]) * one
-            share = (np.bincount(level, a / np.maximum(a + b, 1e-300), LEVELS) + 0.01) / (n + 10.0)
+            share = (np.bincount(level, n * a / np.maximum(a + b, 1e-300), LEVELS) + 0.01) / (total + 10.0)
         self.share = share
 
     def log10(self, token: np.ndarray, off: np.ndarray) -> np.ndarray:
+        return self.log10_of(*self.levels(token, off), off)
+
+    def log10_of(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray, off: np.ndarray) -> np.ndarray:
         if not self.total:
             return np.zeros(len(off) - 1)
-        one, ratio, level = self.parts(token, off)
-        share = self.share[level]
-        return np.add.reduceat(np.log10(share * ratio + (1 - share) * one), off[:-1])
-
-
-def build(merged: DataFrame, bits: int) -> tuple[Model, int, int]:
-    """The model (without shares), tokens and types of training. ``merged``: a stored count()."""
-    levels = merged.select(F.posexplode("levels").alias("what", "l")).select("what", F.posexplode("l").alias("level", "n")).groupBy("what", "level").agg(F.sum("n").alias("n")).collect()  # 3 * LEVELS rows
-    hist = np.zeros((3, LEVELS))
-    for r in levels:
-        hist[r.what, r.level] = r.n
-    total = merged.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_types"), F.lit(0)).alias("v")).first()
-    at = np.arange(LEVELS)
-    need = lambda cut, k: (hist[k] * np.maximum(at - cut, 0)).sum()  # noqa: E731  entries if the level cut + 1 becomes the first
-    cut1, cut2 = 0, 2
-    while need(cut1, 0) + need(cut2, 1) > MAX_ENTRIES:
-        if cut2 - cut1 < 8:
-            cut2 += 1
-        else:
-            cut1 += 1
-    least = (int(np.ceil(2 ** (cut1 / 2))), int(np.ceil(2 ** (cut2 / 2))))
+        code, at = np.unique(_code(context, pair, word), return_inverse=True)
+        found = _levels(code)
+        (one, ratio), share = self.of_levels(*found), self.share[found[0]]
+        return np.add.reduceat(np.log10(share * ratio + (1 - share) * one)[at], off[:-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                w, n, p, m = (np.frombuffer(row[c], t) for c, t in (("words", U64), ("word_counts", np.int64), ("pairs", U64), ("pair_counts", np.int64)))
-                level = level_of(n, least[0])
-                q = float((value_of(level, least[0]) * 2**0.25).sum())
-                rare = int(n[(level == 0) | (n == 1)].sum())
-                yield pa.RecordBatch.from_arrays([pa.array([row["segment"]], pa.int32()), pa.array([_segment_bits(w, n, p, m, least).tobytes()], pa.binary()), pa.array([q]), pa.array([rare], pa.int64())], ["segment", "bits", "q", "rare"])
-
-    rows = merged.select("segment", "words", "word_counts", "pairs", "pair_counts").mapInArrow(run, "segment int, bits binary, q double, rare long").toArrow()  # MAX_ENTRIES * BITS bits at most
-    rows = sorted(zip(rows["segment"].to_pylist(), rows["bits"], rows["q"].to_pylist(), rows["rare"].to_pylist()), key=lambda r: r[0])
-    size = np.zeros(1 << bits, np.int64)
-    for s, b, _, _ in rows:
-        size[s] = 8 * len(b.as_buffer())
-    words = np.frombuffer(b"".join(b.as_buffer() for _, b, _, _ in rows), U64)
-    table = Filter(words, np.concatenate([[0], np.cumsum(size)]), bits)
-    unknown = max(sum(r[3] for r in rows), 0.5) / total.n if total.n else 1.0
-    return Model(table, least, min(unknown, 0.5), sum(r[2] for r in rows)), total.n, total.v
+
+def _code(context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (context * 256 + pair) * 256 + word
+
+
+def _levels(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return code >> 16, (code >> 8) & 255, code & 255
+
+
+def build(merged: DataFrame, bits: int, table: bool = True) -> tuple[Model, int, int]:
+    """The model (without shares), tokens and types of training. ``merged``: a stored count().
+
+    ``table``: bring the filter's bits of all segments here, for texts at hand.
+    """
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_types", "q", "rare")]
+    total = merged.agg(*sums).first()
+    unknown = max(total.rare, 0.5) / total.n_tokens if total.n_tokens else 1.0
+    found = None
+    if table:
+        size, parts = np.zeros(1 << bits, np.int64), []
+        for r in merged.select("segment", "bits").orderBy("segment").collect():
+            size[r.segment] = 8 * len(r.bits)
+            parts.append(bytes(r.bits))
+        found = Filter(np.frombuffer(b"".join(parts), U64), np.concatenate([[0], np.cumsum(size)]), bits)
+    return Model(found, min(unknown, 0.5), float(total.q)), total.n_tokens, total.n_types
 
 
 def score(docs: DataFrame, is_train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,47 +288,81 @@ def score(docs: DataFrame, is_train, id_col: str = "doc_id", text_col: str = "te
     n_bytes = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8), F.lit(0))).first()[0]
     bits = max(4, int(n_bytes // SEGMENT_BYTES).bit_length())
     merged = stored(count(rows.where("train").select("text"), bits), "counts")
-    model, n, v = build(merged, bits)
-    sample = rows.where("train").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, SAMPLE_DOCS / max(1, rows.count())) * (1 << 20)) + 1))
-    model.fit([r.text for r in sample.select("text").limit(4 * SAMPLE_DOCS).collect()])
-    shared, floor = spark.sparkContext.broadcast(model), np.log10(n + 0.5 * (v + 1))
+    model, n, v = build(merged, bits, table=False)
+    floor = np.log10(n + 0.5 * (v + 1))
 
-    blocks = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(int(n_bytes // BATCH_BYTES) + 1)).cast("int").alias("block"))
+    blocks = rows.select("doc_id", "text", "train", F.pmod(F.xxhash64("doc_id"), F.lit(int(n_bytes // BATCH_BYTES) + 1)).cast("int").alias("block"))
+
+    def types_of(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words, contexts included, and pairs."""
+        words, two = [np.array([BEGIN])], []
+        for a in range(0, len(texts), 256):
+            t, off = tokens(pa.array(texts.iloc[a : a + 256], pa.large_string()))
+            words.append(np.unique(t))
+            two.append(np.unique(pairs(t, off)[1]))
+        return np.unique(np.concatenate(words)), np.unique(np.concatenate(two))
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        types = np.unique(tokens(pa.array(pdf.text, pa.large_string()))[0])
-        edges = _edges(types, bits)
-        return pd.DataFrame({"segment": np.arange(1 << bits, dtype=np.int32), "block": pdf.block.iloc[0], "words": [types[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]})
+        words, two = types_of(pdf.text)
+        we, pe = _edges(words, bits), _edges(two, bits)
+        return pd.DataFrame({"segment": np.arange(1 << bits, dtype=np.int32), "block": pdf.block.iloc[0], "words": [words[a:b].tobytes() for a, b in zip(we[:-1], we[1:])], "pairs": [_pack(fraction(two[a:b], bits)) for a, b in zip(pe[:-1], pe[1:])]})
 
     def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         w, c = (np.frombuffer(known[k].iloc[0] if len(known) else b"", t) for k, t in (("words", U64), ("word_counts", np.int64)))
-        out = []
-        for raw in asked.words:
+        own = np.frombuffer(known.bits.iloc[0] if len(known) else b"", U64)
+        table = Filter(own, np.array([0, 64 * len(own)]), 0)
+        levels = lambda item, order: table.probe(np.zeros(len(item), np.int64), item, order).astype(np.uint8).tobytes()
+        counts, one, two = [], [], []
+        for raw, pair in zip(asked.words, asked.pairs):
             x = np.frombuffer(raw, U64)
             at = np.minimum(np.searchsorted(w, x), max(len(w) - 1, 0))
-            out.append(np.where(w[at] == x, c[at], 0).tobytes() if len(w) else np.zeros(len(x), np.int64).tobytes())
-        return pd.DataFrame({"block": asked.block, "segment": asked.segment, "counts": out})
-
-    def rate(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        counts = np.frombuffer(b"".join(answers.sort_values("segment").counts), np.int64)
-        out = []
-        for a in range(0, len(texts), 256) if len(texts) else ():
+            counts.append(np.where(w[at] == x, c[at], 0).tobytes() if len(w) else np.zeros(len(x), np.int64).tobytes())
+            one.append(levels(x, 1))
+            two.append(levels(_unpack(pair), 2))
+        return pd.DataFrame({"block": asked.block, "segment": asked.segment, "counts": counts, "word_levels": one, "pair_levels": two})
+
+    def look_up(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        """Exact parts of each text's row, and the levels of its tokens, three bytes each."""
+        if not len(texts):
+            return pd.DataFrame({k: [] for k in ("doc_id", "train", "n_tokens", "n_known", "base_score", "levels")})
+        answers = answers.sort_values("segment")
+        counts, one, two = (np.frombuffer(b"".join(answers[k]), t) for k, t in (("counts", np.int64), ("word_levels", np.uint8), ("pair_levels", np.uint8)))
+        words, kinds = types_of(texts.text)
+        frames = []
+        for a in range(0, len(texts), 256):
             part = texts.iloc[a : a + 256]
             t, off = tokens(pa.array(part.text, pa.large_string()))
-            out.append((part.doc_id, t, off))
-        if not out:
-            return pd.DataFrame({k: [] for k in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-        types = np.unique(np.concatenate([t for _, t, _ in out]))
-        frames = []
-        for ids, t, off in out:
-            c = counts[np.searchsorted(types, t)]
-            frames.append(pd.DataFrame({"doc_id": ids, "n_tokens": np.diff(off), "n_known": np.add.reduceat((c > 0).astype(np.int64), off[:-1]), "train_tokens": n, "base_score": np.add.reduceat(np.log10(c + 0.5) - floor, off[:-1]), "score": shared.value.log10(t, off)}))
+            before, pair = pairs(t, off)
+            at = np.searchsorted(words, t)
+            c = counts[at]
+            found = np.stack([one[np.searchsorted(words, before)], two[np.searchsorted(kinds, pair)], one[at]], axis=1)
+            levels = [found[i:j].tobytes() for i, j in zip(off[:-1], off[1:])]
+            frames.append(pd.DataFrame({"doc_id": part.doc_id, "train": part.train, "n_tokens": np.diff(off), "n_known": np.add.reduceat((c > 0).astype(np.int64), off[:-1]), "base_score": np.add.reduceat(np.log10(c + 0.5) - floor, off[:-1]), "levels": levels}))
         return pd.concat(frames)
 
-    asked = blocks.groupBy("block").applyInPandas(ask, "segment int, block int, words binary")
-    answers = asked.groupBy("segment").cogroup(merged.select("segment", "words", "word_counts").groupBy("segment")).applyInPandas(answer, "block int, segment int, counts binary")
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
+            code, k = np.unique(_code(*found.T), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(k)], ["code", "n"])
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
+                off = np.concatenate([[0], np.cumsum(part.column(1).to_numpy())])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.full(part.num_rows, n, np.int64)), part.column(3), pa.array(shared.value.log10_of(*found.T, off))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    asked = blocks.groupBy("block").applyInPandas(ask, "segment int, block int, words binary, pairs binary")
+    answers = asked.groupBy("segment").cogroup(merged.select("segment", "words", "word_counts", "bits").groupBy("segment")).applyInPandas(answer, "block int, segment int, counts binary, word_levels binary, pair_levels binary")
     kind = dict(rows.dtypes)["doc_id"]
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(rate, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    looked = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(look_up, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, levels binary"), "levels")
+    tallied = looked.where("train").select("levels").mapInArrow(tally, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # LEVELS ** 3 rows at most
+    if tallied.num_rows:
+        model.fit_counts(tallied["code"].to_numpy(), tallied["n"].to_numpy())
+    shared = spark.sparkContext.broadcast(model)
+    return looked.select("doc_id", "n_tokens", "n_known", "base_score", "levels").mapInArrow(rate, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:

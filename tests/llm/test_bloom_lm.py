@@ -68,3 +68,19 @@ def test_probabilities_sum_to_at_most_one(spark):
     levels = model.table.level(np.array([B.tokens(pa.array([w]))[0][0] for w in vocabulary]), 1)
     want = B.level_of(np.array([exact[w] for w in vocabulary]), 1)
     assert (levels >= want).all() and (levels == want).mean() > 0.95
+
+
+def test_pairs_seen_once_have_a_level_and_all_texts_set_the_shares(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{min(int(x), 500)}" for x in rng.zipf(1.4, 12)) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    merged = B.stored(B.count(docs.select("text"), 4), "t")
+    model, _, _ = B.build(merged, 4)
+    t, off = B.tokens(pa.array(texts))
+    kinds, n = np.unique(B.pairs(t, off)[1], return_counts=True)
+    levels = model.table.level(kinds, 2)
+    assert (n == 1).any() and (levels >= B.level_of(n, 1)).all() and (levels == B.level_of(n, 1)).mean() > 0.95
+    model.fit(texts)
+    want = model.log10(t, off)
+    got = {r.doc_id: r.score for r in B.score(docs, F.lit(True)).collect()}
+    assert all(abs(got[i] - w) < 1e-6 * max(1, abs(w)) for i, w in enumerate(want))
