@@ -1,10 +1,11 @@
 """Main-text extraction from HTML by the line-block distribution.
 
 Markup is stripped into lines: one for each block of text (paragraph, heading, list item, cell...),
-empty ones where a section of the page begins or ends outside its article. ``S[i]``, the text length
+empty ones where a section of the page's body begins or ends outside its article. ``S[i]``, the text length
 summed over ``window`` lines from line ``i``, is then the line-block distribution. It surges where the
-text begins and dives where it ends; the stretch between with the most text is the main text. Text in
-links counts against its line. Elements that hold menus, headers, footers, sidebars, notices, adverts,
+text begins and dives where it ends; the stretch between with the most text is the main text. With it
+go all lines of its article or, without one, of the section that holds most of it, so that adverts and
+lists of links inside do not cut it. Text in links counts against its line. Elements that hold menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles or reader comments give no lines.
 
 Defined results: a null or empty page, or one without text, gives ''; unclosed and truncated markup is
@@ -34,6 +35,8 @@ BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements kept on the stack, so that a boilerplate element ends where it or its parent ends.
 CONTAINERS = frozenset("div section article main body html ul ol table span p li".split()) | DROPPED
+#: Elements that make the text inside them one section.
+SECTIONS = frozenset("div section article main".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -59,27 +62,44 @@ def _boilerplate(name: str, attrs: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, characters in links) of each line; ('', 0) where sections part."""
-    lines: list[tuple[str, int]] = []
+Line = tuple[str, int, tuple[int, ...]]
+
+
+def lines_of(page: str) -> list[Line]:
+    """(text, characters in links, sections) of each line; ('', 0, ()) where sections part.
+
+    The sections are the numbers of the open ``SECTIONS``, down to the outermost article or main.
+    """
+    lines: list[Line] = []
+    homes: list[tuple[int, int, bool]] = []  # stack height, number and whether an article, of each open section
+    opened = 0
     parts: list[str] = []
     linked: list[str] = []
     stack: list[str] = []
     drop = 0  # stack height under which text is boilerplate; 0: none
     links = articles = at = 0
 
+    def home() -> tuple[int, ...]:
+        path = []
+        for _, number, whole in homes:
+            path.append(number)
+            if whole:
+                break
+        return tuple(path)
+
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, len(" ".join(html.unescape("".join(linked)).split()))))
+                lines.append((text, len(" ".join(html.unescape("".join(linked)).split())), home()))
             parts.clear()
             linked.clear()
 
-    def gap() -> None:
+    def gap(section: bool = False) -> None:
+        """Sections part here, but where something is removed inside one."""
         flush()
-        if not articles:
-            lines.extend([("", 0)] * WINDOW)
+        if not articles and (section or not homes):
+            lines.extend([("", 0, ())] * WINDOW)
 
     for m in TOKEN.finditer(page):
         if not drop and m.start() > at:
@@ -98,7 +118,11 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                 if name in ("p", "span", "li") and any(x not in ("p", "span", "li") for x in stack[where:]):
                     continue  # stray
                 ended = stack[where:]
+                if homes and homes[-1][0] > where:
+                    flush()
                 del stack[where:]
+                while homes and homes[-1][0] > where:
+                    homes.pop()
                 if drop and len(stack) < drop:
                     drop = 0
                     gap()
@@ -108,7 +132,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                     if inner:
                         flush()
                         articles -= inner
-                        gap()
+                        gap(True)
             if drop:
                 continue
             if name == "a":
@@ -139,10 +163,14 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                     drop = len(stack)
                 continue
             if name in ("article", "main"):
-                gap()
+                gap(True)
                 articles += 1
             elif name == "a" and not empty:
                 links += 1
+            if name in SECTIONS and not empty:
+                flush()
+                opened += 1
+                homes.append((len(stack), opened, name in ("article", "main")))
         if name in BLOCKS:
             flush()
             links = 0 if name not in ("span",) else links
@@ -152,10 +180,10 @@ def lines_of(page: str) -> list[tuple[str, int]]:
     return lines
 
 
-def main_lines(lines: list[tuple[str, int]], window: int = WINDOW) -> tuple[int, int]:
+def main_lines(lines: list[Line], window: int = WINDOW) -> tuple[int, int]:
     """First and last + 1 of the lines between the surge and the dive that hold the most text."""
     n = len(lines)
-    own = [max(len(t) - 2 * k, 0) for t, k in lines]
+    own = [max(len(t) - 2 * k, 0) for t, k, _ in lines]
     sums, total = [0] * n, 0
     for i in range(n - 1, -1, -1):  # S[i] = own[i] + ... + own[i + window - 1]
         total += own[i] - (own[i + window] if i + window < n else 0)
@@ -185,7 +213,12 @@ def main_text(page: str | None) -> str:
         return ""
     lines = lines_of(page)
     first, last = main_lines(lines)
-    return "\n\n".join(t for t, _ in lines[first:last] if t)
+    held: dict[tuple[int, ...], int] = {}
+    for t, k, home in lines[first:last]:
+        held[home] = held.get(home, 0) + max(len(t) - 2 * k, 0)
+    main = max(held, key=held.get, default=None)
+    inside = lambda home: home[: len(main)] == main if main else home == main
+    return "\n\n".join(t for i, (t, _, home) in enumerate(lines) if t and (first <= i < last or inside(home)))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

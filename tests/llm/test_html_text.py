@@ -42,3 +42,14 @@ def test_given_pages_against_their_article(spark):
         want[r.page_id] = "\n\n".join(b for b in blocks if b)
     got = {r.page_id: r.text for r in extract(pages).collect()}
     assert [k for k in want if want[k] != got[k]] == []
+
+
+def test_adverts_and_link_lists_do_not_cut_the_text():
+    assert main_text("<body><div><p>A</p><div class=ad>x</div><p>longer B</p></div></body>") == "A\n\nlonger B"
+    assert main_text("<p>A</p><div class=ad>x</div><p>longer B</p>") == "A\n\nlonger B"
+    links = "".join(f"<li><a href=#>link {k}</a></li>" for k in range(6))
+    whole = "\n\n".join(["long text " * 8 + "end", *(f"link {k}" for k in range(6)), "after"])
+    for name in ("article", "div"):
+        assert main_text(f"<div><a>home</a></div><{name}><p>{'long text ' * 8}end</p><ul>{links}</ul><p>after</p></{name}>").endswith(whole)
+    menu = "".join(f"<div><a href=#>go {k}</a></div>" for k in range(9))
+    assert main_text(f"<div>{menu}</div><nav>n</nav><div><p>{'long text ' * 8}end</p></div>") == "long text " * 8 + "end"
