@@ -1,7 +1,7 @@
 """Secret scan: fixed rules, widened by probabilistic automata inferred from labelled credentials.
 
-Credentials found by the rules in a bounded sample of documents (``SAMPLE_DOCS`` documents,
-``SAMPLE_VALUES`` values of each kind) are the labelled strings. For each kind their prefix tree is
+Credentials found by the rules in all documents, of each kind the ``SAMPLE_VALUES`` distinct values of
+least hash, are the labelled strings; ordinary words come from about ``SAMPLE_DOCS`` documents. For each kind their prefix tree is
 folded by merging states whose outgoing and ending frequencies agree within Hoeffding's bound, which
 leaves a small probabilistic automaton. Every token of all texts that may be a credential is scored:
 its log-likelihood for each automaton less that for ordinary words, for each character; tokens above
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import stored
+
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -206,23 +208,23 @@ def added_spans(text: str, base: list[Span], model: Model, threshold: float) ->
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_values: int = SAMPLE_VALUES) -> Model:
-    """Automata from the credentials that the rules find in about ``sample_docs`` documents."""
+    """Automata from the credentials of all documents, ``sample_values`` of each kind, and words of about ``sample_docs`` documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, text in enumerate(batch.column(0).to_pylist()):
+            for i, (text, sampled) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 found = base_spans(text or "")
                 rows += [(kind, value) for (kind, _, _), value in found]
-                if text and not found and i % 16 == 0:
+                if sampled and text and not found and i % 16 == 0:
                     rows += [("word", w) for w in set(text.split())]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["kind", "value"])
 
     share = min(1.0, sample_docs / max(1, docs.count()))
-    part = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).select(text_col)
-    found = part.mapInArrow(run, "kind string, value string").distinct()
+    sampled = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)
+    found = stored(docs.select(text_col, sampled.alias("sampled")).mapInArrow(run, "kind string, value string").distinct(), "labels")
     words = found.where("kind = 'word'").orderBy(F.xxhash64("value"), "value").limit(sample_values).collect()
-    labelled = found.where("kind <> 'word'").orderBy(F.xxhash64("kind", "value"), "value").limit(sample_values * len(KINDS)).collect()
+    labelled = [r for k in KINDS for r in found.where(F.col("kind") == k).orderBy(F.xxhash64("kind", "value"), "value").limit(sample_values).collect()]
     values = {k: sorted(r.value for r in labelled if r.kind == k) for k in KINDS}
     return Model(values, sorted(r.value for r in words))
 

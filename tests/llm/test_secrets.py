@@ -57,3 +57,12 @@ def test_redact(spark):
     docs = spark.createDataFrame([(1, 'a token = "' + "0f" * 16 + '" b', 0), (2, None, 0)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in S.redact(docs).collect()}
     assert got[1].text == 'a [SECRET]" b' and got[1].n_chars == 13 and got[2].text is None
+
+
+def test_labels_come_from_all_documents_and_each_kind(spark):
+    rng = random.Random(9)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"plain text of number {i}") for i in range(400)] + [(1000 + i, " ".join(hexes(32) for _ in range(20))) for i in range(20)] + [(5000, "id AKIA" + "A1B2" * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = S.fit(docs, sample_docs=5, sample_values=20)
+    assert set(model.automata) == {"access", "hex"}
