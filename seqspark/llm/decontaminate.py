@@ -1,10 +1,10 @@
-"""Benchmark decontamination over a distributed positional inverted index, in DataFrame operations.
+"""Benchmark decontamination by rarest terms and comparison of token arrays, in DataFrame operations.
 
-The index lists (document row, position) for every term; it stays dealt by document, so building and
-reading it needs no shuffle. A test phrase is looked up by its rarest term, by corpus counts over all
-documents; that posting list, moved by the term's offset, is intersected with the lists of the
-phrase's other terms, which are read from the token array at the moved positions. Exact phrase matches
-and, within a slop, unordered proximity matches come out.
+No inverted index is stored and no positional lists are intersected: each pass splits the texts anew and
+explodes (document row, position) of every term, dealt by document. A test phrase is looked up by its
+rarest term, by corpus counts over all documents; at each place of that term, moved by its offset, the
+phrase's other terms are compared with the document's own token array. Exact phrase matches and, within
+a slop, unordered proximity matches (by distinct words) come out.
 
 The phrase table is broadcast only when it has at most ``BROADCAST_PHRASES`` rows (a phrase has at most
 ten words); beyond that postings with their surrounding tokens are joined to it by term.
