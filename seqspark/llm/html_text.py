@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import ship_code
+
 WINDOW = 3
 
 #: Text length of a window at which a line is prose.
@@ -281,6 +283,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without ``html_col``, with text and n_chars (code points) of each row."""
+    ship_code(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     schema = pages.select(*kept).schema.add("text", "string").add("n_chars", "long")
 

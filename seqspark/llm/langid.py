@@ -8,7 +8,9 @@ predicted; a text farther from all of them than texts of its length ever are in
 cosine below ``REJECT`` times the training median of its length class.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; ties go to
-the language first in order; repeated rows give repeated rows; without training rows all is ``und``.
+the language first in order; texts of any length are read whole; repeated rows give repeated rows; without
+training rows all is ``und``; an empty table gives no rows; other columns pass by untouched, but for those
+named as the results, which replace them.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from .tables import ship_code
 from .textops import LOWER, chunks, utf8
 
 DIMS = 1 << 12
@@ -31,7 +35,8 @@ REJECT = 0.4
 UND = "und"
 #: Documents made into one dense count matrix at once.
 ROWS = 128
-BROADCAST_LANGS = 10_000
+#: Languages a model may have: its centroids, 64 KB a language, are broadcast.
+MAX_LANGS = 2_000
 
 #: Letters and bytes of other scripts stand for themselves, digits for one digit, the rest for a space.
 SHAPE = LOWER.copy()
@@ -114,6 +119,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, centroids: int = CENTROIDS) -> Model | None:
     """``train``: labelled rows only. None where there are none."""
+    ship_code(train.sparkSession)
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     df = np.zeros(DIMS + 1)
     for r in rows.select("text").mapInArrow(_document_frequencies, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():  # DIMS + 1 rows
@@ -123,11 +129,15 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     idf = np.log((1 + df[DIMS]) / (1 + df[:DIMS])).astype(np.float32) + np.float32(0.1)
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     n_langs = sizes.count()
+    if n_langs > MAX_LANGS:
+        raise ValueError(f"{n_langs} languages; the model of at most {MAX_LANGS} fits in a worker")
     per = max(8, sample_docs // max(1, n_langs))
-    if n_langs <= BROADCAST_LANGS:  # else texts meet the sizes by a shuffle
-        sizes = F.broadcast(sizes)
+    sizes = F.broadcast(sizes)  # MAX_LANGS rows at most
     share = F.least(F.lit(1.0), F.lit(float(per)) / F.col("n"))
-    sample = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= share * (1 << 20)).select("lang", "doc_id", "text")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
+    sample = rows.join(sizes, "lang").where(place <= share * (1 << 20)).withColumn("place", place)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    sample = sample.withColumn("rank", first).where(F.col("rank") <= 2 * per).select("lang", "doc_id", "text")  # whatever repeats
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
@@ -162,9 +172,12 @@ PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructFi
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected; columns of these names are replaced."""
-    kept = [c for c in docs.columns if c not in PREDICTED.names and c != "_letters"]
-    rows = docs.select(*kept, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    """``docs`` with lang_pred, score and rejected; columns of these names are replaced, all others kept."""
+    ship_code(docs.sparkSession)
+    kept = [c for c in docs.columns if c not in PREDICTED.names]
+    rows = docs.select(*kept).toDF(*[f"c{i}" for i in range(len(kept))])
+    rows = rows.withColumn("letters", F.coalesce(F.col(f"c{kept.index(text_col)}").rlike(r"\p{L}"), F.lit(False)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGS languages at most
     at, schema = kept.index(text_col), T.StructType([*docs.select(*kept).schema.fields, *PREDICTED.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +185,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             n = batch.num_rows
             lang, score, rejected = np.full(n, UND, object), np.zeros(n), np.ones(n, bool)
             letters = batch.column(len(kept)).to_numpy(zero_copy_only=False).astype(bool)
+            model = shared.value
             if model is not None:
                 names = np.array(model.langs, object)
                 for a, b, x in matrices(batch.column(at)):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import stored
+from .tables import ship_code, stored
 
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns of the contract.
@@ -209,6 +209,7 @@ def added_spans(text: str, base: list[Span], model: Model, threshold: float) ->
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_values: int = SAMPLE_VALUES) -> Model:
     """Automata from the credentials of all documents, ``sample_values`` of each kind, and words of about ``sample_docs`` documents."""
+    ship_code(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,6 +232,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
 def scan(docs: DataFrame, model: Model | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: its id and all its spans, with the flag ``base``."""
+    ship_code(docs.sparkSession)
     model = model or fit(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +265,7 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", model: Model | None = None) -> DataFrame:
     """``docs`` with the text of every found span replaced by ``mark`` and n_chars counted anew."""
+    ship_code(docs.sparkSession)
     model = model or fit(docs)
     names, schema = docs.columns, docs.schema
     at, n_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None

@@ -32,13 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/seqspark"
+    """The shared folder of the cluster; one of our own only where none is set and all runs on one machine, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or "/tmp/checkpoints/seqspark"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives executors."""
     spark = df.sparkSession
+    ship_code(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

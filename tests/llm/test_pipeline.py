@@ -70,3 +70,18 @@ def test_rows_are_judged_by_row_not_by_id(spark):
     docs = stored(spark.createDataFrame([(*r, 0) for r in rows], shape), "in")
     got = {(r.doc_id, r.text) for r in C.decontaminated(spark, docs, sf).collect()}
     assert got == {(None, "clean words"), (5, "other clean words")}
+
+
+def test_columns_of_any_name_and_type_pass(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = ["the that of and is with for this was and the dog " * 4, "der die das und ist nicht mit für ein der Hund " * 4, None, "", ""]
+    shape = "doc_id long, text string, lang string, score double, rejected boolean, _letters string, _row_key string, c0 map<string,int>, term string, n_chars long"
+    rows = [(i, t, "en", 0.5, True, "x", "k", {"a": i % 4}, "t", 1) for i, t in enumerate(texts)] + [(4, "", "en", 0.5, True, "x", "k", {"a": 0}, "t", 1)]
+    docs = stored(spark.createDataFrame(rows, shape).repartition(2), "in")
+    left = {"language_id": [0, 1], "near_dedup": [0, 1, 2, 3, 4], "decontamination": [0, 1, 2, 3, 4, 4], "secret_scan": [0, 1, 2, 3, 4, 4]}
+    for name, stage in C.STAGES[:-1]:
+        got = stored(stage(spark, docs, sf), name)
+        assert got.schema.simpleString() == docs.schema.simpleString()
+        assert sorted(r.doc_id for r in got.collect()) == left[name], name
+        assert {(r.score, r.rejected, r._letters, r._row_key, r.c0["a"] == r.doc_id % 4) for r in got.collect()} == {(0.5, True, "x", "k", True)}
+    assert {r.doc_id for r in C.packed(spark, docs, sf).collect()} == {0, 1, 2, 3, 4}
