@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. Between stages the rows are written as Parquet and read again, so each stage starts
 from what its predecessor kept.
+
+Defined results, of every stage: rows are judged one by one, whether their doc_id is null, unique or
+shared; texts are taken whole, however long; an empty table gives no rows; columns besides doc_id, text
+and (for the language) lang are passed on whatever their names and types, but by the last stage, which
+ignores them. What a null, empty or repeated row becomes stands at the stage.
 """
 
 from __future__ import annotations
@@ -18,11 +23,20 @@ from seqspark.llm.tables import stored, table
 ORACLE_SQL = None
 #: Column of the key that decisions on rows are made by, inside a stage.
 KEY = "_row_key"
+#: Columns that stages read; others get plain names inside a stage.
+OWN = ("doc_id", "text", "lang")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a stored key of each row: a doc_id may be null or stand in several rows."""
-    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+    """``docs`` with a stored key of each row: a doc_id may be null or stand in several rows.
+
+    Other columns are called c0, c1, ..., so that no name clashes with an operator's own.
+    """
+    return stored(_renamed(docs).withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def _renamed(docs: DataFrame) -> DataFrame:
+    return docs.toDF(*[c if c in OWN else f"c{i}" for i, c in enumerate(docs.columns)])
 
 
 def _by_key(keyed: DataFrame) -> DataFrame:
@@ -30,40 +44,49 @@ def _by_key(keyed: DataFrame) -> DataFrame:
     return keyed.select(F.col(KEY).alias("doc_id"), "text")
 
 
-def _without(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` whose key is not a doc_id of ``found``, without the key."""
-    return keyed.join(found.select(F.col("doc_id").alias(KEY)), KEY, "left_anti").drop(KEY)
+def _without(docs: DataFrame, keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose key is not a doc_id of ``found``, with the columns of ``docs``."""
+    return keyed.join(found.select(F.col("doc_id").alias(KEY)), KEY, "left_anti").drop(KEY).toDF(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, and those far from every language's centroids, go."""
-    found = langid.identify(docs, langid.fit(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    """Texts without letters (null and empty ones among them), and those far from every language's centroids, go.
+
+    Repeated rows are judged alike; a row without lang is judged by the centroids that the others give.
+    """
+    found = langid.identify(_renamed(docs), langid.fit(docs.select("doc_id", "text", "lang")))
+    return found.where(~F.col("rejected")).drop("lang_pred", "score", "rejected").toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the least id of each group of near duplicates stays; one without an id only where all are."""
+    """The row with the least id of each group of near duplicates stays; one without an id only where all are.
+
+    Of repeated rows, and of rows of a group with the same id, one stays. Texts without words are near nothing.
+    """
     keyed = _keyed(docs)
     found = minhash.near_duplicates(_by_key(keyed), minhash.SHINGLE_WORDS, minhash.SIMILARITY)
     groups = stored(found.join(keyed.select(F.col(KEY).alias("doc_id"), F.col("doc_id").alias("own")), "doc_id"), "groups")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "doc_id")).getField("doc_id").alias("doc_id"))
-    return _without(keyed, groups.join(first, "doc_id", "left_anti")).distinct()
+    wordless = keyed.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    wordless = wordless.select(F.col(KEY).alias("doc_id"), F.sha2(F.to_json(F.struct(*[c for c in keyed.columns if c != KEY])), 256).alias("row"))
+    repeated = wordless.join(wordless.groupBy("row").agg(F.min("doc_id").alias("doc_id")), ["row", "doc_id"], "left_anti").select("doc_id")
+    return _without(docs, keyed, groups.join(first, "doc_id", "left_anti").select("doc_id").union(repeated))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Rows with a benchmark passage go, repeated ones each; null and empty texts have none and stay."""
     keyed = _keyed(docs)
     found = decontaminate.contamination(_by_key(keyed), table(spark, sf_dir, "benchmark"))
-    return _without(keyed, found.where("contaminated"))
+    return _without(docs, keyed, found.where("contaminated"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Credentials are replaced in the text by a mark; n_chars follows."""
+    """Credentials are replaced in the text by a mark; n_chars, if there, follows. No row goes, null texts stay null."""
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, by sequence."""
+    """Pieces of documents, by sequence; a null or empty text is its end id alone, repeated rows are packed once each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
