@@ -1,10 +1,11 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from seqspark.llm.packing import pack, pieces
+from seqspark.llm.packing import WordTokenizer, pack, pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -35,5 +36,19 @@ def test_round_trip_against_tokenizer(spark):
         assert g.length.sum() <= 4096
 
 
+def test_ids_equal_those_of_the_whole_text():
+    rng = random.Random(3)
+    parts = list("aBcÉßµªºİIıΣσς ǅﬁ̈ñ\n\t ..,!?:;'sStTdD<|>-_²½٣५中あ한🙂\u200d\xad\xa0\x85\x1f$&#")
+    parts += ["<|endoftext|>", "<|ENDOFTEXT|>", "'ll", "'re", "İ.", "ΑΣ.", "word&&&", " "]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(5000)]
+    for path in (PATH, public_tokenizers.path("byte_bpe_50k.json")):  # by words; whole texts
+        own, tok = WordTokenizer(path), Tokenizer.from_file(path)
+        assert own.by_word == (path == PATH)
+        for at in (0, 2500):
+            ids, edge = own.encode(texts[at : at + 2500])
+            for k, t in enumerate(texts[at : at + 2500]):
+                assert ids[edge[k] : edge[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
