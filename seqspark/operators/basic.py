@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import Sequence, heads, position, scan
+from ..core import Running, Sequence, heads, scan_many
 
 
 def transform(df: DataFrame, f, *inputs: str, out: str = "y") -> DataFrame:
@@ -25,13 +25,11 @@ def _flag(flag: str | Column) -> Column:
 
 def partition(seq: Sequence, keep: str | Column, out: str = "out_pos") -> DataFrame:
     """One output: selected rows in order, then rejected ones in reverse order. ``out``: new position."""
-    df = position(seq, "_pos").withColumn("_keep", F.coalesce(_flag(keep), F.lit(False)))
-    df = df.withColumn("_part", F.when(F.col("_keep"), 0).otherwise(1)).withColumn("_key", F.when(F.col("_keep"), F.col("_pos")).otherwise(-F.col("_pos")))
-    n = df.agg(F.count("*").alias("_n"))
-    rank = scan(Sequence(df, ("_pos",), seq.chunks), F.col("_keep").cast("long"), "sum", "_before", exclusive=True, init=0)
+    keep = F.coalesce(_flag(keep), F.lit(False))
+    df = scan_many(seq.with_df(seq.df.withColumn("_keep", keep)), {"_pos": Running(F.lit(1), "count", exclusive=True), "_before": Running(F.col("_keep").cast("long"), exclusive=True, init=0), "_n": Running(F.lit(1), "count", total=True)})
     # selected: how many were selected before; rejected: from the end, how many were rejected before
     at = F.when(F.col("_keep"), F.col("_before")).otherwise(F.col("_n") - 1 - (F.col("_pos") - F.col("_before")))
-    return rank.join(F.broadcast(n)).withColumn(out, at.cast("long")).drop("_pos", "_keep", "_part", "_key", "_before", "_n")
+    return df.withColumn(out, at.cast("long")).drop("_pos", "_keep", "_before", "_n")
 
 
 def partition_two_way(df: DataFrame, keep: str | Column, out: str = "part") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import Sequence, islands, position, scan, scan_segments
+from ..core import Running, Runs, Sequence, position, scan, scan_runs
 
 
 def inclusive_scan(seq: Sequence, value: str | Column, op="sum", out: str = "y") -> DataFrame:
@@ -16,13 +16,17 @@ def exclusive_scan(seq: Sequence, value: str | Column, init, op="sum", out: str
     return scan(seq, value, op, out, exclusive=True, init=init)
 
 
+def _running(value: str | Column, op, exclusive: bool = False, init=None) -> Running:
+    return Running(F.col(value) if isinstance(value, str) else value, op, exclusive, init)
+
+
 def inclusive_scan_by_key(seq: Sequence, keys: list[str], value: str | Column, op="sum", out: str = "y", equal=None) -> DataFrame:
     """Restarts at each run of consecutive equal keys."""
-    return scan_segments(seq.with_df(islands(seq, keys, equal, "_seg")), "_seg", value, op, out).drop("_seg")
+    return scan_runs(seq, Runs(tuple(keys), equal), {out: _running(value, op)})
 
 
 def exclusive_scan_by_key(seq: Sequence, keys: list[str], value: str | Column, init, op="sum", out: str = "y", equal=None) -> DataFrame:
-    return scan_segments(seq.with_df(islands(seq, keys, equal, "_seg")), "_seg", value, op, out, exclusive=True, init=init).drop("_seg")
+    return scan_runs(seq, Runs(tuple(keys), equal), {out: _running(value, op, True, init)})
 
 
 def deterministic(value: str | Column, scale: int = 10) -> Column:
@@ -32,12 +36,11 @@ def deterministic(value: str | Column, scale: int = 10) -> Column:
 
 def flag_segments(seq: Sequence, flag: str, out: str = "segment") -> DataFrame:
     """0-based segment of each row; a true flag begins one, and row 0 does whatever its flag."""
-    df = position(seq, "_pos").withColumn("_f", F.when(F.col("_pos") == 0, 0).otherwise(F.coalesce(F.col(flag).cast("boolean").cast("long"), F.lit(0))))
-    return scan(seq.with_df(df), "_f", "sum", out).drop("_pos", "_f")
+    return scan_runs(seq, Runs(flag=flag), number=out)
 
 
 def segmented_scan_flags(seq: Sequence, flag: str, value: str | Column, op="sum", out: str = "y", exclusive: bool = False, init=None) -> DataFrame:
-    return scan_segments(seq.with_df(flag_segments(seq, flag, "_seg")), "_seg", value, op, out, exclusive, init).drop("_seg")
+    return scan_runs(seq, Runs(flag=flag), {out: _running(value, op, exclusive, init)})
 
 
 def in_segments(seq: Sequence, segments: DataFrame, begin: str = "begin", end: str = "end", bucket: int = 1024) -> DataFrame:
@@ -55,4 +58,4 @@ def segmented_scan(seq: Sequence, segments: DataFrame, segment: str, value: str
     """Scan inside each segment [begin, end); one row for each row of each segment."""
     rows = in_segments(seq, segments, begin, end)
     ordered = Sequence(rows, (segment, "pos"), seq.chunks)
-    return scan_segments(ordered, segment, value, op, out, exclusive, init)
+    return scan_runs(ordered, Runs((segment,)), {out: _running(value, op, exclusive, init)})

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..core import Sequence, position
+from ..core import CHUNK, Sequence, position
 from .scans import in_segments
 
+#: Rows that one task may take.
+TAKEN = 100_000
 INTEGERS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
@@ -72,7 +74,11 @@ def nth_element(seq: Sequence, key: str, n: int, out: str = "side") -> DataFrame
     _at_most(seq.df, n, "nth")
     names = [key, *[c for c in seq.names if c != key]]
     ordered = Sequence(seq.df, (key, *[c for c in seq.order if c.removeprefix("-") != key]), seq.chunks)
-    pivot = position(ordered, "_pos").where(F.col("_pos") == n).select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(names)])
+    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)  # a row a chunk
+    sizes = ordered.chunked.groupBy(CHUNK).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    at = sizes.where((F.col("_before") <= n) & (F.col("_before") + F.col("_n") > n)).first()  # only that chunk is sorted
+    chunk = ordered.chunked.where(F.col(CHUNK) == (at[CHUNK] if at else 0)).withColumn("_rn", F.row_number().over(ordered.window()))
+    pivot = chunk.where(F.col("_rn") == n + 1 - (at["_before"] if at else 0)).select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(names)])
     df = seq.df.join(F.broadcast(pivot))  # one row
     less, same = F.lit(False), F.lit(True)
     for i, c in enumerate(names):
@@ -86,11 +92,14 @@ def partial_sort(seq: Sequence, key: str, middle: int, out: str = "pos") -> Data
     """Positions of the ``middle`` first of the stable sort; null for the rest, whose order is free."""
     _at_most(seq.df, middle, "middle")
     first = partial_sort_copy(seq, key, middle - 1, out).select(*seq.names, out)
-    return seq.df.join(F.broadcast(first) if middle <= 100_000 else first, seq.names, "left")
+    return seq.df.join(F.broadcast(first) if middle <= TAKEN else first, seq.names, "left")
 
 
 def partial_sort_copy(seq: Sequence, key: str, middle: int, out: str = "pos") -> DataFrame:
-    """The ``middle`` + 1 least rows with their positions; only they leave each task."""
+    """The ``middle`` + 1 least rows with their positions; few are taken from each task, many are found by chunks."""
+    if middle > TAKEN:
+        ordered = Sequence(seq.df, (key, *[c for c in seq.order if c.removeprefix("-") != key]), seq.chunks)
+        return position(ordered, out).where(F.col(out) <= middle)
     order = [F.col(key), *seq.by()]
     return seq.df.orderBy(*order).limit(middle + 1).withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
 
