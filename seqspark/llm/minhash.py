@@ -2,13 +2,15 @@
 
 1. One pass hashes the word shingles of each text to its set, the set's fingerprint and
    ``BANDS * ROWS`` minima of universal hash functions. Equal sets become one node.
-2. Nodes that agree in a band share a bucket. Each is paired with the bucket's least node only, so a
-   bucket of n nodes gives n - 1 pairs. Pairs whose signatures agree enough are confirmed on the full
-   sets; star contraction gives components.
+2. Nodes that agree in a band share a bucket. Buckets are salted: each node is paired with the least node
+   of its salt, and those with the bucket's least node, so a bucket of n nodes gives n - 1 pairs and no task
+   holds a whole bucket. Pairs whose signatures agree enough are confirmed on the full sets; star
+   contraction gives components.
 3. Buckets that still hold several components are searched exactly: buckets that share nodes make a
-   family, and the members outside a family's commonest component meet all its members, in blocks of
-   a fixed size that bring their full sets. Pairs of different components with close signatures are
-   confirmed there and only links come out. No bucket, family or partner is capped.
+   family, and the members outside a family's commonest component meet all its members. Members are dealt
+   to blocks of about ``BLOCK_BYTES`` and those outside to parts of that size, so each row is copied once
+   for each block or part of the other side, however many rows those hold. Pairs of different components with close signatures are
+   confirmed there on their full sets and only links come out. No bucket, family or partner is capped.
 
 At similarity 0.85 a pair shares no band with probability 7e-9, and ``SLACK`` standard errors are
 allowed before a signature dismisses a pair. Sets needed for confirmation are computed in a second pass over the texts;
@@ -17,7 +19,8 @@ for.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; rows of
 one id are one node of the graph and give one row each; a row without an id joins the group of an equal set
-or stands alone and is kept; an empty table gives no rows; columns other than id and text are ignored.
+or stands alone and is kept; texts of any length are one set each; an empty table gives no rows; columns other
+than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,16 +32,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import components
-from .tables import stored
+from .tables import ship_code, stored
 from .textops import LOWER, SPACE, U64, chunks, mix64, utf8, word_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 SLACK = 4.5
-BLOCK = 256
+BLOCK_BYTES = 8 << 20
+#: Nodes for each salt of a bucket, if one bucket held all of them.
+SALT_NODES = 50_000
 FILTER_BITS = 1 << 26
 
 _rng = np.random.default_rng(20240229)
@@ -196,20 +202,38 @@ def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return stored(pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b").mapInArrow(_verify(percent), "u long, v long"), "links")
 
 
-def _blocks(members: DataFrame, least: float, percent: int) -> DataFrame:
-    """Links between components of (family, n, main, node, component, sig, hashes), n: the family's size.
-
-    Members outside their family's commonest component meet all its members, ``BLOCK`` of each at a time.
-    Small families share groups. A link is given only where it joins two components of its group.
-    """
-    spread = lambda c: F.when(F.col("n") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("node", F.lit(c)), F.ceil(F.col("n") / BLOCK)))
-    cells = members.count() // (4 * BLOCK) + 1
-    keyed = members.withColumn("cell", F.when(F.col("n") <= BLOCK, F.pmod(F.xxhash64("family"), F.lit(cells))).otherwise(F.col("family") + cells))
-    other = keyed.where("component <> main").withColumn("part", spread(2))
-    parts = F.sequence(F.lit(0).cast("long"), F.when(F.col("n") <= BLOCK, F.lit(0).cast("long")).otherwise(F.ceil(F.col("n") / BLOCK) - 1))
-    asking = other.withColumn("block", F.explode(parts)).withColumn("asks", F.lit(True))
-    asked = keyed.withColumn("block", spread(1)).withColumn("part", F.explode(parts)).withColumn("asks", F.lit(False))
+def _bucketed(nodes: DataFrame) -> DataFrame:
+    """(band, node, first) of the buckets with several nodes; first: least of the node's salt, or of the bucket for that one."""
+    salts = nodes.count() // SALT_NODES + 16
+    banded = nodes.mapInArrow(_band_rows, "band long, node long").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)))
+    own = Window.partitionBy("band", "salt")
+    local = banded.select("band", "node", "salt", F.min("node").over(own).alias("local"), F.count("*").over(own).alias("n"))
+    local = local.withColumn("tier", F.when(F.col("node") == F.col("local"), -1).otherwise(F.col("salt")))
+    tier = Window.partitionBy("band", "tier")
+    out = local.select("band", "node", "local", "tier", F.min("node").over(tier).alias("least"), F.sum("n").over(tier).alias("total"))
+    return out.where("tier >= 0 OR total > 1").select("band", "node", F.when(F.col("tier") >= 0, F.col("local")).otherwise(F.col("least")).alias("first"))
+
+
+def _cells(members: DataFrame, homes: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows of ``members`` by cell, block and part: those outside their family's commonest component ask, all are asked."""
+    per = homes.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    family = per.groupBy("family").agg(F.max(F.struct("n", "component", "bytes")).alias("main"), F.sum("bytes").alias("bytes"))
+    family = family.select("family", F.col("main.component").alias("main"), F.col("bytes").alias("all_bytes"), (F.col("bytes") - F.col("main.bytes")).alias("out_bytes")).where("out_bytes > 0")
+    family = stored(family, "sizes")
+    cells = int(family.agg(F.coalesce(F.sum("all_bytes"), F.lit(0))).first()[0]) // BLOCK_BYTES + 1
+    size = lambda c: F.ceil(F.col(c) / BLOCK_BYTES)
+    own = F.when(F.col("all_bytes") <= BLOCK_BYTES, F.pmod(F.xxhash64("family"), F.lit(cells))).otherwise(F.col("family") + cells)
+    keyed = members.join(family, "family").withColumn("cell", own)  # small families share cells
+    dealt = lambda c, salt: F.pmod(F.xxhash64("node", F.lit(salt)), size(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), size(c) - 1))
+    asking = keyed.where("component <> main").withColumn("part", dealt("out_bytes", 2)).withColumn("block", every("all_bytes")).withColumn("asks", F.lit(True))
+    asked = keyed.withColumn("block", dealt("all_bytes", 1)).withColumn("part", every("out_bytes")).withColumn("asks", F.lit(False))
     columns = ["cell", "block", "part", "family", "asks", "node", "component", "sig", "hashes"]
+    return asking.select(columns).union(asked.select(columns)), ["cell", "block", "part"]
+
+
+def _blocks(members: DataFrame, homes: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links between components of (family, node, component, sig, hashes). A link is given only where it joins two components of its group."""
 
     def links(pdf: pd.DataFrame) -> list[tuple[int, int]]:
         asks, rest = pdf[pdf.asks], pdf[~pdf.asks]
@@ -222,7 +246,7 @@ def _blocks(members: DataFrame, least: float, percent: int) -> DataFrame:
         for node, component, sig, own in zip(asks.node, asks.component, asks.sig, asks.hashes):
             while component in joined:
                 component = joined[component]
-            near = (s == np.frombuffer(sig, np.uint32)).mean(axis=1) >= least
+            near = np.count_nonzero(s == np.frombuffer(sig, np.uint32), axis=1) >= least * len(A)
             for i in np.flatnonzero(near & (home != component)):
                 if home[i] != component and _similar(own, sets[i], percent):
                     out.append((node, nodes[i]))
@@ -235,33 +259,32 @@ def _blocks(members: DataFrame, least: float, percent: int) -> DataFrame:
         out = [x for _, family in pdf.groupby("family") for x in links(family)]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    return asking.select(columns).union(asked.select(columns)).groupBy("cell", "block", "part").applyInPandas(group, "u long, v long")
+    rows, keys = _cells(members, homes)
+    return rows.groupBy(*keys).applyInPandas(group, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; similarity in whole hundredths."""
     percent = round(100 * similarity)
+    ship_code(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = stored(describe(rows, shingle_words), "described")
-    groups = described.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
+    groups = stored(described.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "groups")  # stored, a skewed join to it can be split
     nodes = stored(groups.join(described.select("h1", "h2", F.col("doc_id").alias("node"), "sig"), ["h1", "h2", "node"]).select("node", "sig").dropDuplicates(["node"]), "nodes")
 
-    banded = nodes.mapInArrow(_band_rows, "band long, node long")
-    shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    buckets = stored(banded.join(shared, "band"), "buckets")
+    buckets = stored(_bucketed(nodes), "buckets")
     pairs = buckets.where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y")).distinct()
     signed = pairs.join(nodes.select(F.col("node").alias("x"), F.col("sig").alias("a")), "x").join(nodes.select(F.col("node").alias("y"), F.col("sig").alias("b")), "y")
     links = _confirm(rows, signed.select("x", "y", "a", "b").mapInArrow(_screen(floor_of(percent / 100)), "x long, y long"), shingle_words, percent)
 
     found = stored(components(links), "components")
     placed = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    mixed = stored(placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band"), "mixed")
     families = stored(components(placed.join(mixed, "band").select(F.col("node").alias("u"), F.col("first").alias("v"))), "families").select("node", F.col("component").alias("family"))
     homes = families.join(found, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
-    mains = homes.groupBy("family").agg(F.count("*").alias("n"), F.mode("component").alias("main"))
     sets = wanted_sets(rows, homes.select(F.col("node").alias("doc_id")), shingle_words).withColumnRenamed("doc_id", "node").dropDuplicates(["node"])
-    members = stored(homes.join(mains, "family").join(nodes, "node").join(sets, "node"), "members")
-    more = stored(_blocks(members, floor_of(percent / 100), percent), "links")
+    members = stored(homes.join(nodes, "node").join(sets, "node").withColumn("bytes", F.octet_length("hashes") + 4 * len(A)), "members")
+    more = stored(_blocks(members.drop("bytes"), members.select("family", "component", "bytes"), floor_of(percent / 100), percent), "links")
     if not more.isEmpty():
         found = stored(components(links.union(more)), "components")
 

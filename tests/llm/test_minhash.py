@@ -2,9 +2,10 @@ import random
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from seqspark.llm.graph import components
-from seqspark.llm.minhash import near_duplicates, op9_minhash_near_dedup, shingle_sets
+from seqspark.llm.minhash import _cells, near_duplicates, op9_minhash_near_dedup, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,6 +62,30 @@ def test_chains_edges_and_ties(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_of_a_large_family_do_not_grow_with_its_square(spark):
+    for outside in (1, 100):
+        rows = [(7, i, 7 if i >= outside else 9_000 + i, b"s" * 640, b"h" * 1600) for i in range(8192)]
+        members = spark.createDataFrame(rows, "family long, node long, component long, sig binary, hashes binary")
+        dealt, keys = _cells(members, members.selectExpr("family", "component", "octet_length(hashes) + 640 AS bytes"))
+        assert dealt.count() <= 8192 + 3 * outside
+        meets = dealt.where("asks").select(*keys, F.col("node").alias("x")).join(dealt.where("NOT asks").select(*keys, "node"), keys)
+        assert meets.select("x", "node").distinct().count() == 8192 * outside
+
+
+def test_hot_buckets_stay_connected(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(300):  # one family of near copies, and a second that shares most bands with none
+        own = list(words)
+        own[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+        rows.append((1000 + i, " ".join(f"v{k}" if k != i % 100 else f"y{i}" for k in range(100))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, 3, 0.85).collect()}
+    assert got == brute(rows)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 50), (60, 70), (70, 60)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
