@@ -2,13 +2,12 @@
 
 1. One pass hashes the word shingles of each text to its set, the set's fingerprint and
    ``BANDS * ROWS`` minima of universal hash functions. Equal sets become one node.
-2. Nodes that agree in a band share a bucket. Buckets are salted: each node is paired with the least node
-   of its salt, and those with the bucket's least node, so a bucket of n nodes gives n - 1 pairs and no task
-   holds a whole bucket. Pairs whose signatures agree enough are confirmed on the full sets; star
+2. Nodes that agree in a band share a bucket. Each is paired with the bucket's least node only, so a bucket of
+   n nodes gives n - 1 pairs; buckets are salted, and no task holds a whole one. Pairs whose signatures agree enough are confirmed on the full sets; star
    contraction gives components.
 3. Buckets that still hold several components are searched exactly: buckets that share nodes make a
    family, and the members outside a family's commonest component meet all its members. Members are dealt
-   to blocks of about ``BLOCK_BYTES`` and those outside to parts of that size, so each row is copied once
+   to blocks of about ``BLOCK`` rows (fewer if they exceed ``BLOCK_BYTES``) and those outside to such parts, so each row is copied once
    for each block or part of the other side, however many rows those hold. Pairs of different components with close signatures are
    confirmed there on their full sets and only links come out. No bucket, family or partner is capped.
 
@@ -42,7 +41,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 SLACK = 4.5
-BLOCK_BYTES = 8 << 20
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Nodes for each salt of a bucket, if one bucket held all of them.
 SALT_NODES = 50_000
 FILTER_BITS = 1 << 26
@@ -203,31 +202,38 @@ def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
 
 
 def _bucketed(nodes: DataFrame) -> DataFrame:
-    """(band, node, first) of the buckets with several nodes; first: least of the node's salt, or of the bucket for that one."""
+    """(band, node, first) of the buckets with several nodes; first: the bucket's least node.
+
+    Each salt of a bucket finds its least node, and those the bucket's, which goes back to the nodes by band and salt.
+    """
     salts = nodes.count() // SALT_NODES + 16
     banded = nodes.mapInArrow(_band_rows, "band long, node long").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)))
     own = Window.partitionBy("band", "salt")
     local = banded.select("band", "node", "salt", F.min("node").over(own).alias("local"), F.count("*").over(own).alias("n"))
     local = local.withColumn("tier", F.when(F.col("node") == F.col("local"), -1).otherwise(F.col("salt")))
     tier = Window.partitionBy("band", "tier")
-    out = local.select("band", "node", "local", "tier", F.min("node").over(tier).alias("least"), F.sum("n").over(tier).alias("total"))
-    return out.where("tier >= 0 OR total > 1").select("band", "node", F.when(F.col("tier") >= 0, F.col("local")).otherwise(F.col("least")).alias("first"))
+    out = local.select("band", "node", "salt", "tier", F.min("node").over(tier).alias("least"), F.sum("n").over(tier).alias("total"))
+    out = stored(out.where("tier >= 0 OR total > 1").drop("total"), "salted")
+    leaders = out.where("tier < 0").select("band", "salt", "node", F.col("least").alias("first"))
+    others = out.where("tier >= 0").select("band", "salt", "node").join(leaders.drop("node"), ["band", "salt"])
+    return leaders.drop("salt").unionByName(others.drop("salt"))
 
 
 def _cells(members: DataFrame, homes: DataFrame) -> tuple[DataFrame, list[str]]:
     """Rows of ``members`` by cell, block and part: those outside their family's commonest component ask, all are asked."""
     per = homes.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    family = per.groupBy("family").agg(F.max(F.struct("n", "component", "bytes")).alias("main"), F.sum("bytes").alias("bytes"))
-    family = family.select("family", F.col("main.component").alias("main"), F.col("bytes").alias("all_bytes"), (F.col("bytes") - F.col("main.bytes")).alias("out_bytes")).where("out_bytes > 0")
-    family = stored(family, "sizes")
-    cells = int(family.agg(F.coalesce(F.sum("all_bytes"), F.lit(0))).first()[0]) // BLOCK_BYTES + 1
-    size = lambda c: F.ceil(F.col(c) / BLOCK_BYTES)
-    own = F.when(F.col("all_bytes") <= BLOCK_BYTES, F.pmod(F.xxhash64("family"), F.lit(cells))).otherwise(F.col("family") + cells)
+    family = per.groupBy("family").agg(F.max(F.struct("n", "component", "bytes")).alias("main"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))
+    all_ = blocks(F.col("n"), F.col("bytes")).alias("blocks")
+    outside = blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("parts")
+    family = stored(family.select("family", F.col("main.component").alias("main"), "bytes", "n", all_, outside).where("parts > 0"), "sizes")
+    cells = int(family.agg(F.coalesce(F.sum(F.col("bytes") / BLOCK_BYTES + F.col("n") / BLOCK), F.lit(0))).first()[0]) + 1
+    own = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(cells))).otherwise(F.col("family") + cells)
     keyed = members.join(family, "family").withColumn("cell", own)  # small families share cells
-    dealt = lambda c, salt: F.pmod(F.xxhash64("node", F.lit(salt)), size(c))
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), size(c) - 1))
-    asking = keyed.where("component <> main").withColumn("part", dealt("out_bytes", 2)).withColumn("block", every("all_bytes")).withColumn("asks", F.lit(True))
-    asked = keyed.withColumn("block", dealt("all_bytes", 1)).withColumn("part", every("out_bytes")).withColumn("asks", F.lit(False))
+    dealt = lambda c, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    asking = keyed.where("component <> main").withColumn("part", dealt("parts", 2)).withColumn("block", every("blocks")).withColumn("asks", F.lit(True))
+    asked = keyed.withColumn("block", dealt("blocks", 1)).withColumn("part", every("parts")).withColumn("asks", F.lit(False))
     columns = ["cell", "block", "part", "family", "asks", "node", "component", "sig", "hashes"]
     return asking.select(columns).union(asked.select(columns)), ["cell", "block", "part"]
 

