@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Binary = Callable[[Column, Column], Column]
 
@@ -36,14 +39,33 @@ def array_upper_bound(values: Column, x: Column) -> Column:
 def encode_key(key: Column, bits: int, descending: bool = False) -> Column:
     """A signed key as a number that compares like the key when its bits are read unsigned."""
     flipped = key.cast("long") + F.lit(1 << (bits - 1)) if bits < 64 else key.cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-    return F.bitwise_not(flipped).bitwiseAND(F.lit((1 << bits) - 1)) if descending and bits < 63 else flipped
+    return _flip(flipped, bits) if descending else flipped
 
 
 def decode_key(code: Column, bits: int, descending: bool = False) -> Column:
-    plain = F.bitwise_not(code).bitwiseAND(F.lit((1 << bits) - 1)) if descending and bits < 63 else code
+    plain = _flip(code, bits) if descending else code
     return plain - F.lit(1 << (bits - 1)) if bits < 64 else plain.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
 
 
+def _flip(code: Column, bits: int) -> Column:
+    """All bits of the code turned over."""
+    return F.bitwise_not(code).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) if bits < 64 else F.bitwise_not(code)
+
+
+@F.pandas_udf(T.LongType())
+def encode_double(key: pd.Series) -> pd.Series:
+    """A double as a signed number that compares like it; NaN last, -0.0 just before 0.0, null stays."""
+    x = key.to_numpy(np.float64, na_value=np.nan)
+    bits = np.where(np.isnan(x), np.float64("nan"), x).view(np.int64)
+    return pd.Series(bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))).where(key.notna().to_numpy() | np.isnan(key.to_numpy(np.float64, na_value=0.0)), None).astype("Int64")
+
+
+@F.pandas_udf(T.DoubleType())
+def decode_double(code: pd.Series) -> pd.Series:
+    bits = code.fillna(0).to_numpy(np.int64)
+    return pd.Series((bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))).view(np.float64)).where(code.notna().to_numpy(), None)
+
+
 def extract_digit(code: Column, start: int, radix_bits: int) -> Column:
     return F.shiftrightunsigned(code, start).bitwiseAND(F.lit((1 << radix_bits) - 1))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import Sequence, following, previous
+from ..core import Sequence, following, position, previous
 
 Binary = Callable[[Column, Column], Column]
 
@@ -31,6 +31,12 @@ def flag_heads(seq: Sequence, value: str, differs: Binary = lambda a, b: ~a.eqNu
     return df.withColumn(out, F.when(F.col("_first"), edge).otherwise(differs(F.col("_near"), F.col(value)))).drop("_first", "_near")
 
 
+def flag_heads_indexed(seq: Sequence, value: str, differs: Callable[[Column, Column, Column], Column], out: str = "head") -> DataFrame:
+    """differs(before, x, position of x) of each element; the first is flagged."""
+    df = previous(seq.with_df(position(seq, "_index")), {"_near": F.col(value)})
+    return df.withColumn(out, F.col("_first") | differs(F.col("_near"), F.col(value), F.col("_index"))).drop("_first", "_near", "_index")
+
+
 def flag_tails(seq: Sequence, value: str, differs: Binary = lambda a, b: ~a.eqNullSafe(b), out: str = "tail", outside: Column | None = None) -> DataFrame:
     """differs(x, after) of each element; the last is flagged, or compared with ``outside``."""
     df = following(seq, {"_near": F.col(value)})

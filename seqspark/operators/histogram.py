@@ -51,9 +51,10 @@ def histogram_range(df: DataFrame, value: str, levels: list) -> DataFrame:
     return _histogram(df, range_bin(F.col(value), levels), len(levels) - 1)
 
 
-def region(df: DataFrame, columns: int, rows: int, column: str = "col", row: str = "row") -> DataFrame:
-    """The first ``columns`` x ``rows`` samples of an image given by coordinates."""
-    return df.where((F.col(column) < columns) & (F.col(row) < rows))
+def region(df: DataFrame, columns: int, rows: int | Column | None, column: str = "col", row: str = "row") -> DataFrame:
+    """The first ``columns`` x ``rows`` samples of an image given by coordinates; None: all rows."""
+    wide = df.where(F.col(column) < columns)
+    return wide if rows is None else wide.where(F.col(row) < rows)
 
 
 def _channels(df: DataFrame, channels: list[str], bins_of) -> DataFrame:

@@ -136,17 +136,28 @@ def masked_bit_count(mask: Column, lane: Column) -> Column:
     return F.bit_count(mask.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), lane.cast("int")) - 1))
 
 
-def subtract_left(tiled: DataFrame, value: str, out: str = "y") -> DataFrame:
-    """x[i] - x[i-1] inside the tile; lane 0 stays."""
-    return tiled.withColumn(out, F.when(F.col("lane") == 0, F.col(value)).otherwise(F.col(value) - F.lag(value).over(by_lane())))
+def subtract_left(tiled: DataFrame, value: str, out: str = "y", valid: int | None = None, before: Column | None = None) -> DataFrame:
+    """x[i] - x[i-1] inside the tile; lane 0 stays, or is compared with ``before``. Lanes from ``valid`` on stay."""
+    x = F.col(value)
+    first = x if before is None else x - before
+    y = F.when(F.col("lane") == 0, first).otherwise(x - F.lag(value).over(by_lane()))
+    return tiled.withColumn(out, y if valid is None else F.when(F.col("lane") < valid, y).otherwise(x))
 
 
-def subtract_right(tiled: DataFrame, value: str, out: str = "y") -> DataFrame:
-    """x[i] - x[i+1] inside the tile; the last lane stays."""
+def subtract_right(tiled: DataFrame, value: str, out: str = "y", valid: int | None = None, after: Column | None = None) -> DataFrame:
+    """x[i] - x[i+1] inside the tile; the last (valid) lane stays, or is compared with ``after``. Lanes from ``valid`` on stay."""
+    x = F.col(value)
     last = F.lead("lane").over(by_lane()).isNull()
-    return tiled.withColumn(out, F.when(last, F.col(value)).otherwise(F.col(value) - F.lead(value).over(by_lane())))
-
-
-def sort(tiled: DataFrame, key: str, descending: bool = False, out: str = "rank") -> DataFrame:
-    """Stable rank in the tile."""
-    return tiled.withColumn(out, F.row_number().over(Window.partitionBy("tile").orderBy(F.desc(key) if descending else F.asc(key), "lane")) - 1)
+    last = last if valid is None else last | (F.col("lane") == valid - 1)
+    y = F.when(last, x if after is None else x - after).otherwise(x - F.lead(value).over(by_lane()))
+    return tiled.withColumn(out, y if valid is None else F.when(F.col("lane") < valid, y).otherwise(x))
+
+
+def sort(tiled: DataFrame, key: str, descending: bool = False, out: str = "rank", valid: int | None = None) -> DataFrame:
+    """Stable rank in the tile; lanes from ``valid`` on are not sorted and keep their place."""
+    order = [F.desc(key) if descending else F.asc(key), F.col("lane")]
+    if valid is None:
+        return tiled.withColumn(out, F.row_number().over(Window.partitionBy("tile").orderBy(*order)) - 1)
+    late = F.col("lane") >= valid
+    rank = F.row_number().over(Window.partitionBy("tile", late).orderBy(*order)) - 1
+    return tiled.withColumn(out, F.when(late, F.col("lane")).otherwise(rank))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..core import Sequence, position, tiles
 from ..functions import arrays, operators as ops
-from ..operators import basic, copy, difference, histogram, reduce, scans, search, sorting
+from ..functions.exact import Exact
+from ..operators import basic, copy, difference, histogram, ordered, reduce, scans, search, sorting
 from ..operators import tiles as tile
 from ..sources import iterators
 from .registry import query
@@ -685,3 +686,186 @@ def sort_then_search(spark, sf):
     hay = sorting.merge_sort(orders(spark, sf), "cents").select("pos", "cents")
     needles = read(spark, sf, "customer").select("c_custkey", F.round(F.col("c_acctbal") * 1000).cast("long").alias("q"))
     return search.lower_bound(hay, "cents", needles, "q", "c_custkey").select("c_custkey", "bound")
+
+
+# --- opaque functions and operations that do not commute -------------------------------------------
+
+
+@query("transform_opaque", E + " SELECT event_id, cents * 3 + user_id % 7 AS y FROM e")
+def transform_opaque(spark, sf):
+    return ordered.map_vectors(events(spark, sf).df, lambda v: {"y": v["cents"] * 3 + v["user_id"] % 7}, "y long").select("event_id", "y")
+
+
+@query("select_opaque", E + " SELECT event_id FROM e WHERE (cents + user_id) % 3 = 1")
+def select_opaque(spark, sf):
+    return ordered.filter_vectors(events(spark, sf).df, lambda v: (v["cents"] + v["user_id"]) % 3 == 1).select("event_id")
+
+
+def then(f, g):
+    """The map x -> a * x + b of f, then that of g."""
+    return {"a": f["a"] * g["a"], "b": g["a"] * f["b"] + g["b"]}
+
+
+def _maps(spark, sf):
+    """Maps that keep what came before (a = 1), or forget it at each signup (a = 0), and add the cents."""
+    s = events(spark, sf)
+    return s.with_df(s.df.select("event_id", "event_type", (F.col("event_type") != "signup").cast("long").alias("a"), F.col("cents").alias("b")))
+
+
+RESETS = E + ", r AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (ORDER BY pos) AS g FROM e), s AS (SELECT event_id, pos, CASE WHEN g = 0 THEN 1 ELSE 0 END AS a, CAST(sum(cents) OVER (PARTITION BY g ORDER BY pos) AS BIGINT) AS b FROM r)"
+
+
+@query("inclusive_scan_user_operation", RESETS + " SELECT event_id, CAST(a AS BIGINT) AS a, b FROM s")
+def inclusive_scan_user_operation(spark, sf):
+    return ordered.scan(_maps(spark, sf), ["a", "b"], then).select("event_id", "a", "b")
+
+
+@query("exclusive_scan_user_operation", RESETS + " SELECT event_id, CAST(coalesce(lag(a) OVER (ORDER BY pos), 1) AS BIGINT) AS a, CAST(coalesce(lag(b + 7 * a) OVER (ORDER BY pos), 7) AS BIGINT) AS b FROM s")
+def exclusive_scan_user_operation(spark, sf):
+    return ordered.scan(_maps(spark, sf), ["a", "b"], then, exclusive=True, init={"a": 1, "b": 7}).select("event_id", "a", "b")
+
+
+@query("reduce_user_operation", RESETS + " SELECT CAST(max_by(a, pos) AS BIGINT) AS a, max_by(b, pos) AS b FROM s")
+def reduce_user_operation(spark, sf):
+    return ordered.reduce(_maps(spark, sf), ["a", "b"], then)
+
+
+@query("reduce_by_key_user_operation", RUNS + " SELECT island, min(event_type) AS event_type, string_agg(CAST(event_id AS VARCHAR), '-' ORDER BY pos) AS ids FROM i GROUP BY island")
+def reduce_by_key_user_operation(spark, sf):
+    s = events(spark, sf)
+    s = s.with_df(s.df.withColumn("ids", F.col("event_id").cast("string")))
+    return ordered.reduce_by_key(s, ["event_type"], ["ids"], lambda a, b: {"ids": a["ids"] + "-" + b["ids"]})
+
+
+@query("scan_by_key_user_operation", RUNS + ", r AS (SELECT *, sum(CASE WHEN cents % 4 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY island ORDER BY pos) AS g FROM i) SELECT event_id, CAST(sum(cents) OVER (PARTITION BY island, g ORDER BY pos) AS BIGINT) AS b FROM r")
+def scan_by_key_user_operation(spark, sf):
+    s = events(spark, sf)
+    s = s.with_df(s.df.select("event_id", "event_type", (F.col("cents") % 4 != 0).cast("long").alias("a"), F.col("cents").alias("b")))
+    return ordered.scan_by_key(s, ["event_type"], ["a", "b"], then).select("event_id", "b")
+
+
+# --- sums of doubles, the same bits for any grouping ------------------------------------------------
+
+#: Thirds of values as whole multiples of 2 ** -70, and their sum rounded once to a double.
+THIRDS = "CAST(value / 3 * 1180591620717411303424 AS HUGEINT)"
+NEAREST = "(CAST({s} // 9007199254740992 AS DOUBLE) * 9007199254740992 + CAST({s} % 9007199254740992 AS DOUBLE)) / 1180591620717411303424"
+D = "WITH e AS (SELECT event_id, event_type, " + THIRDS + " AS x, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events WHERE value <> 0), h AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (ORDER BY pos) AND pos > 0 THEN 0 ELSE 1 END AS head FROM e), i AS (SELECT *, CAST(sum(head) OVER (ORDER BY pos) - 1 AS BIGINT) AS island FROM h)"
+
+
+def _thirds(spark, sf):
+    df = read(spark, sf, "events").where("value <> 0").select("event_id", "event_type", (F.col("value") / 3).alias("x"))
+    return Sequence(df, ("event_id",)), Exact(df, "x")
+
+
+@query("deterministic_scan_doubles", D + ", s AS (SELECT event_id, sum(x) OVER (ORDER BY pos) AS s FROM e) SELECT event_id, " + NEAREST.format(s="s") + " AS y FROM s")
+def deterministic_scan_doubles(spark, sf):
+    s, exact = _thirds(spark, sf)
+    return scans.inclusive_scan(s, exact()).select("event_id", exact.back(F.col("y")).alias("y"))
+
+
+@query("deterministic_scan_by_key_doubles", D + ", s AS (SELECT event_id, sum(x) OVER (PARTITION BY island ORDER BY pos) AS s FROM i) SELECT event_id, " + NEAREST.format(s="s") + " AS y FROM s")
+def deterministic_scan_by_key_doubles(spark, sf):
+    s, exact = _thirds(spark, sf)
+    return scans.inclusive_scan_by_key(s, ["event_type"], exact()).select("event_id", exact.back(F.col("y")).alias("y"))
+
+
+@query("deterministic_reduce_by_key_doubles", D + ", s AS (SELECT island, sum(x) AS s FROM i GROUP BY island) SELECT island, " + NEAREST.format(s="s") + " AS y FROM s")
+def deterministic_reduce_by_key_doubles(spark, sf):
+    s, exact = _thirds(spark, sf)
+    return reduce.reduce_by_key(s, ["event_type"], {"s": F.sum(exact())}).select("island", exact.back(F.col("s")).alias("y"))
+
+
+# --- other forms ------------------------------------------------------------------------------------
+
+
+@query("partition_two_way_flags", E + " SELECT event_id, CAST(CASE WHEN user_id % 2 = 0 THEN 0 ELSE 1 END AS INTEGER) AS part FROM e")
+def partition_two_way_flags(spark, sf):
+    df = events(spark, sf).df.withColumn("flag", (F.col("user_id") % 2 == 0).cast("int"))
+    return basic.partition_two_way(df, "flag").select("event_id", "part")
+
+
+@query("partition_three_way_counts", E + " SELECT CAST(CASE WHEN cents % 2 = 0 THEN 0 WHEN cents % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) AS part, count(*) AS n FROM e GROUP BY 1")
+def partition_three_way_counts(spark, sf):
+    return basic.part_counts(basic.partition_three_way(events(spark, sf).df, F.col("cents") % 2 == 0, F.col("cents") % 3 == 0))
+
+
+@query("radix_sort_pairs", "SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS pos FROM orders")
+def radix_sort_pairs(spark, sf):
+    return sorting.radix_sort(orders(spark, sf), "o_custkey").select("o_custkey", "o_orderkey", "cents", "pos")
+
+
+@query("radix_sort_pairs_desc", "SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, row_number() OVER (ORDER BY (o_custkey >> 1) & 255 DESC, o_orderkey) - 1 AS pos FROM orders")
+def radix_sort_pairs_desc(spark, sf):
+    return sorting.radix_sort(orders(spark, sf), "o_custkey", 1, 9, descending=True).select("o_custkey", "o_orderkey", "cents", "pos")
+
+
+IMAGE = "(SELECT CAST(round(value * 100) AS BIGINT) AS cents, user_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events) WHERE pos % 100 < 60"
+
+
+def _image(spark, sf):
+    """Events as an image, 100 to a row; its first 60 columns."""
+    df = position(events(spark, sf)).select("cents", "user_id", (F.col("pos") % 100).alias("col"), F.floor(F.col("pos") / 100).alias("row"))
+    return histogram.region(df, 60, None)
+
+
+@query("histogram_range_region", "WITH l AS (SELECT * FROM (VALUES (0, 0, 100), (1, 100, 1000), (2, 1000, 2500), (3, 2500, 9000), (4, 9000, 50000)) v(bin, lo, hi)) SELECT CAST(bin AS INTEGER) AS bin, count(x) AS n FROM l LEFT JOIN (SELECT cents AS x FROM " + IMAGE + ") ON x >= lo AND x < hi GROUP BY bin")
+def histogram_range_region(spark, sf):
+    return histogram.histogram_range(_image(spark, sf), "cents", LEVELS)
+
+
+MULTI = "WITH x AS (SELECT 0 AS channel, cents AS v FROM {t} UNION ALL SELECT 1, user_id FROM {t}), l AS (SELECT * FROM (VALUES {l}) v(channel, bin, lo, hi)) SELECT CAST(l.channel AS INTEGER) AS channel, CAST(bin AS INTEGER) AS bin, count(v) AS n FROM l LEFT JOIN x ON l.channel = x.channel AND v >= lo AND v < hi GROUP BY 1, 2"
+
+
+@query("multi_histogram_even_region", MULTI.format(t=IMAGE, l="(0, 0, 0, 4000), (0, 1, 4000, 8000), (0, 2, 8000, 12000), (1, 0, 0, 10), (1, 1, 10, 20)"))
+def multi_histogram_even_region(spark, sf):
+    return histogram.multi_histogram_even(_image(spark, sf), ["cents", "user_id"], [4, 3], [0, 0], [12000, 20])
+
+
+@query("multi_histogram_range_region", MULTI.format(t=IMAGE, l="(0, 0, 0, 100), (0, 1, 100, 9000), (1, 0, 1, 5), (1, 1, 5, 50)"))
+def multi_histogram_range_region(spark, sf):
+    return histogram.multi_histogram_range(_image(spark, sf), ["cents", "user_id"], [[0, 100, 9000], [1, 5, 50]])
+
+
+@query("discontinuity_indexed", E + " SELECT event_id, pos % 64 = 0 OR event_type <> lag(event_type) OVER (ORDER BY pos) AS head FROM e")
+def discontinuity_indexed(spark, sf):
+    return difference.flag_heads_indexed(events(spark, sf), "event_type", lambda a, b, i: ~a.eqNullSafe(b) | (i % 64 == 0)).select("event_id", "head")
+
+
+@query("radix_key_codec_64", "SELECT o_orderkey, o_orderkey + (-9223372036854775807 - 1) AS code, -1 - (o_orderkey + (-9223372036854775807 - 1)) AS code_desc, o_orderkey AS back FROM orders")
+def radix_key_codec_64(spark, sf):
+    code, down = arrays.encode_key(F.col("o_orderkey"), 64), arrays.encode_key(F.col("o_orderkey"), 64, descending=True)
+    return read(spark, sf, "orders").select("o_orderkey", code.alias("code"), down.alias("code_desc"), arrays.decode_key(down, 64, descending=True).alias("back"))
+
+
+@query("radix_key_codec_doubles", "SELECT c_custkey, c_acctbal AS back, dense_rank() OVER (ORDER BY c_acctbal) - 1 AS rank FROM customer")
+def radix_key_codec_doubles(spark, sf):
+    """Ranks by the codes of doubles are those of the doubles."""
+    df = read(spark, sf, "customer").select("c_custkey", arrays.encode_double("c_acctbal").alias("code"))
+    s = Sequence(df, ("code", "c_custkey"))
+    return scans.scan_runs(s, scans.Runs(("code",)), number="rank").select("c_custkey", arrays.decode_double("code").alias("back"), "rank")
+
+
+@query("block_subtract_partial", E + TILES + " SELECT event_id, CASE WHEN lane < 200 THEN cents - coalesce(lag(cents) OVER w, 11) ELSE cents END AS l, CASE WHEN lane < 199 THEN cents - coalesce(lead(cents) OVER w, 0) ELSE cents END AS r FROM t WINDOW w AS (PARTITION BY tile ORDER BY lane)")
+def block_subtract_partial(spark, sf):
+    t = tile.subtract_left(_tiles(spark, sf), "cents", "l", valid=200, before=F.lit(11))
+    return tile.subtract_right(t, "cents", "r", valid=200).select("event_id", "l", "r")
+
+
+@query("block_sort_partial", E + TILES + " SELECT event_id, CAST(CASE WHEN lane >= 100 THEN lane ELSE row_number() OVER (PARTITION BY tile, lane >= 100 ORDER BY cents DESC, lane) - 1 END AS INTEGER) AS rank FROM t")
+def block_sort_partial(spark, sf):
+    return tile.sort(_tiles(spark, sf), "cents", descending=True, valid=100).select("event_id", "rank")
+
+
+@query("warp_reduce", E + TILES + " SELECT wtile AS tile, max(cents) AS y FROM w GROUP BY wtile")
+def warp_reduce(spark, sf):
+    return tile.reduce(_tiles(spark, sf, 64), "cents", "max")
+
+
+@query("warp_scan", E + TILES + " SELECT event_id, CAST(sum(cents) OVER (PARTITION BY wtile ORDER BY wlane) AS BIGINT) AS y FROM w")
+def warp_scan(spark, sf):
+    return tile.scan(_tiles(spark, sf, 64), "cents").select("event_id", "y")
+
+
+@query("warp_sort", E + TILES + " SELECT event_id, CAST(row_number() OVER (PARTITION BY wtile ORDER BY cents DESC, wlane) - 1 AS INTEGER) AS rank FROM w")
+def warp_sort(spark, sf):
+    return tile.sort(_tiles(spark, sf, 64), "cents", descending=True).select("event_id", "rank")
