@@ -1,14 +1,16 @@
 """Secret scan: fixed rules, widened by probabilistic automata inferred from labelled credentials.
 
 Credentials found by the rules in all documents, of each kind the ``SAMPLE_VALUES`` distinct values of
-least hash, are the labelled strings; ordinary words come from about ``SAMPLE_DOCS`` documents. For each kind their prefix tree is
+least hash, are the labelled strings; ordinary words come from about ``SAMPLE_DOCS`` documents, chosen by hash. For each kind their prefix tree is
 folded by merging states whose outgoing and ending frequencies agree within Hoeffding's bound, which
-leaves a small probabilistic automaton. Every token of all texts that may be a credential is scored:
-its log-likelihood for each automaton less that for ordinary words, for each character; tokens above
-``threshold`` are added to the spans of the rules, which stay as they are.
-
-Defined results: null and empty texts have no spans; spans of different kinds may overlap; repeated
-rows give repeated rows; without any labelled credential nothing is added; an empty table gives no rows.
+leaves a small probabilistic automaton. Every run of the credentials' alphabet in all texts, from the length of the shortest
+labelled credential (or ``CANDIDATE``) up, is a candidate, whatever it is made of, and is scored: its log-likelihood for each automaton less that
+for ordinary words (the likeliest of their shapes: digits, digits with marks, letters, mixed), for each character. Candidates above ``threshold``
+are added to the spans of the rules, which stay as they are; the automata run over all candidates of a batch at once.
+
+Defined results: null and empty texts have no spans; texts of any length are scanned whole; spans of different kinds
+may overlap; of equally likely kinds the first of ``KINDS`` is given; repeated rows give repeated rows; without any labelled
+credential nothing is added; an empty table gives no rows; other columns are ignored (``redact`` passes them on).
 """
 
 from __future__ import annotations
@@ -18,22 +20,27 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import ship_code, stored
+from .textops import chunks, utf8, words
 
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: A token that may be a credential; ordinary words have few digits.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+#: Bytes that a credential may have; full stops at its end are the sentence's.
+ALPHABET = np.zeros(256, bool)
+ALPHABET[[c for c in range(128) if chr(c).isalnum() or chr(c) in "+/_.=-"]] = True
 
-SAMPLE_DOCS = 20_000
+#: Candidates are at least as long as the shortest labelled credential or as this.
+CANDIDATE = 16
+SAMPLE_DOCS = 2_000
 SAMPLE_VALUES = 2_000
 THRESHOLD = 0.35
 #: Log-probability of a symbol that a state never met.
@@ -173,37 +180,98 @@ class Automaton:
         return total + self.log[state][""][1]
 
 
+#: Symbols by number, and the number of each byte of the alphabet.
+NUMBERED = ["9", "a", "z", "A", "Z", *"+/_.=-"]
+NUMBER = np.array([NUMBERED.index(SYMBOLS[chr(c)]) if ALPHABET[c] else 0 for c in range(256)])
+#: Shapes of ordinary words: of digits, of digits and marks, of letters and marks, of all.
+SHAPES = ({"9"}, {"9", *"+/_.=-"}, set(NUMBERED) - {"9"}, set(NUMBERED))
+
+
 class Model:
-    """Automata by kind, and the log-probability of each symbol in ordinary words."""
+    """Automata by kind, and the log-probabilities of symbols in ordinary words by the words' shape, as tables."""
 
-    def __init__(self, values: dict[str, list[str]], words: Iterable[str]):
+    def __init__(self, values: dict[str, list[str]], ordinary: Iterable[str]):
+        self.shortest = min([CANDIDATE, *(len(x) for v in values.values() for x in v)])
         self.automata = {k: Automaton(v) for k, v in values.items() if v}
-        counts: dict[str, int] = {}
-        for w in words:
-            for s in symbols(w):
-                counts[s] = counts.get(s, 0) + 1
-        total = sum(counts.values()) + 64
-        self.words = {s: math.log((counts.get(s, 0) + 1) / total / WIDTH.get(s, 1)) for s in set(counts) | set(WIDTH) | set("+/_.=-")}
-
-    def score(self, value: str) -> tuple[str, float]:
-        """The likeliest kind, and its log-likelihood ratio to ordinary words for each character."""
-        if not self.automata:
-            return "", -math.inf
-        plain = sum(self.words.get(s, -8.0) for s in symbols(value))
-        kind, best = max(((k, a.log_likelihood(value)) for k, a in self.automata.items()), key=lambda x: x[1])
-        return kind, (best - plain) / len(value)
-
-
-def added_spans(text: str, base: list[Span], model: Model, threshold: float) -> list[Span]:
-    out = []
-    for m in CANDIDATE.finditer(text):
-        start, end, value = m.start(), m.end(), m[0]
-        digits, letters = sum(c.isdigit() for c in value), sum(c.isalpha() for c in value)
-        if digits < 3 or letters < 3 or any(s < end and start < e for _, s, e in base):
+        self.tables = [self._table(a) for a in self.automata.values()]
+        wide = np.array([WIDTH.get(x, 1) for x in NUMBERED])
+        counts, ends = np.tile(wide.astype(float), (len(SHAPES), 1)), np.ones(len(SHAPES))
+        for w in ordinary:
+            found = [NUMBERED.index(x) for x in symbols(w) if x in NUMBERED]
+            shape = self._shape({NUMBERED[i] for i in found})
+            np.add.at(counts[shape], found, 1)
+            ends[shape] += 1
+        allowed = np.array([[x in shape for x in NUMBERED] for shape in SHAPES])
+        counts = np.where(allowed, counts, 0)
+        total = counts.sum(axis=1) + ends
+        with np.errstate(divide="ignore"):
+            self.plain = np.log(counts / total[:, None] / wide)
+        self.plain_end = np.log(ends / total) + np.log(ends / ends.sum())
+
+    @staticmethod
+    def _shape(found: set[str]) -> int:
+        return next(i for i, shape in enumerate(SHAPES) if found <= shape)
+
+    @staticmethod
+    def _table(automaton: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Next state and log-probability by state and symbol, and log-probability of an end."""
+        n = len(automaton.states)
+        to = np.repeat(np.arange(n, dtype=np.int32)[:, None], len(NUMBERED), axis=1)
+        log = np.full(to.shape, UNSEEN)
+        for q, steps in enumerate(automaton.log):
+            for i, x in enumerate(NUMBERED):
+                if x in steps:
+                    to[q, i], log[q, i] = steps[x]
+        return to, log, np.array([steps[""][1] for steps in automaton.log])
+
+    def scores(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the likeliest kind of each span of bytes, and its log-likelihood ratio to ordinary words for each character."""
+        order = np.argsort(-size, kind="stable")  # the longest first, so that those still running come first
+        at, n = start[order], size[order]
+        left = np.searchsorted(-n, -np.arange(n.max(initial=0)), "left")  # spans longer than 0, 1, ...
+        state = np.zeros((len(self.tables), len(at)), np.int32)
+        total = np.zeros((len(self.tables), len(at)))
+        plain = np.zeros((len(SHAPES), len(at)))
+        for k, m in enumerate(left.tolist()):
+            x = NUMBER[data[at[:m] + k]]
+            plain[:, :m] += self.plain[:, x]
+            for i, (to, log, _) in enumerate(self.tables):
+                total[i, :m] += log[state[i, :m], x]
+                state[i, :m] = to[state[i, :m], x]
+        for i, (_, _, end) in enumerate(self.tables):
+            total[i] += end[state[i]]
+        kind = total.argmax(axis=0)
+        ratio = (total[kind, np.arange(len(at))] - (plain + self.plain_end[:, None]).max(axis=0)) / np.maximum(n, 1)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return kind[back], ratio[back]
+
+
+def added_spans(texts: pa.Array, base: list[list[Span]], model: Model, threshold: float) -> list[list[Span]]:
+    """Spans of each text that score above the threshold and overlap none of ``base``."""
+    out: list[list[Span]] = [[] for _ in range(len(texts))]
+    if not model.automata:
+        return out
+    data, off = utf8(texts)
+    kinds = list(model.automata)
+    for i, j in chunks(off):
+        part = data[off[i] : off[j]]
+        if not len(part):
             continue
-        kind, score = model.score(value)
-        if score >= threshold:
-            out.append((kind, start, end))
+        edge = off[i : j + 1] - off[i]
+        start, end, _ = words(part, edge, ~ALPHABET)
+        for _ in range(3):
+            end = end - ((part[end - 1] == ord(".")) & (end - start > 1))
+        long = end - start >= model.shortest
+        start, end = start[long], end[long]
+        kind, score = model.scores(part, start, end - start)
+        for k in np.flatnonzero(score >= threshold).tolist():
+            doc = int(np.searchsorted(edge, start[k], "right")) - 1
+            before = part[edge[doc] : start[k]]
+            a = int(len(before) - np.count_nonzero((before & 0xC0) == 0x80))  # code points
+            b = a + int(end[k] - start[k])
+            if not any(s < b and a < e for _, s, e in base[i + doc]):
+                out[i + doc].append((kinds[kind[k]], a, b))
     return out
 
 
@@ -214,15 +282,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, (text, sampled) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for text, sampled in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = base_spans(text or "")
                 rows += [(kind, value) for (kind, _, _), value in found]
-                if sampled and text and not found and i % 16 == 0:
+                if sampled and text and not found:
                     rows += [("word", w) for w in set(text.split())]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["kind", "value"])
 
     share = min(1.0, sample_docs / max(1, docs.count()))
-    sampled = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)
+    sampled = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)
     found = stored(docs.select(text_col, sampled.alias("sampled")).mapInArrow(run, "kind string, value string").distinct(), "labels")
     words = found.where("kind = 'word'").orderBy(F.xxhash64("value"), "value").limit(sample_values).collect()
     labelled = [r for k in KINDS for r in found.where(F.col("kind") == k).orderBy(F.xxhash64("kind", "value"), "value").limit(sample_values).collect()]
@@ -240,11 +308,9 @@ def scan(docs: DataFrame, model: Model | None = None, threshold: float = THRESHO
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                spans = []
-                for text in part.column(1).to_pylist():
-                    base = [s for s, _ in base_spans(text)] if text else []
-                    more = added_spans(text, base, model, threshold) if text else []
-                    spans.append([{"kind": k, "start": s, "end": e, "base": True} for k, s, e in base] + [{"kind": k, "start": s, "end": e, "base": False} for k, s, e in more])
+                base = [[s for s, _ in base_spans(text)] if text else [] for text in part.column(1).to_pylist()]
+                more = added_spans(part.column(1), base, model, threshold)
+                spans = [[{"kind": k, "start": s, "end": e, "base": ours is x} for ours in (x, y) for k, s, e in ours] for x, y in zip(base, more)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, kinds)], ["doc_id", "spans"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -273,17 +339,20 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", model: Model | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text in batch.column(at).to_pylist():
-                if text:
-                    base = [s for s, _ in base_spans(text)]
-                    out, done = [], 0
-                    for _, s, e in sorted(base + added_spans(text, base, model, THRESHOLD), key=lambda x: x[1:]):
-                        if e > done:
-                            if s >= done:
-                                out += [text[done:s], mark]
-                            done = e
-                    text = "".join(out) + text[done:]
-                texts.append(text)
+            for first in range(0, batch.num_rows, 512):
+                part = batch.column(at).slice(first, 512)
+                given = part.to_pylist()
+                base = [[s for s, _ in base_spans(text)] if text else [] for text in given]
+                for text, spans in zip(given, map(list.__add__, base, added_spans(part, base, model, THRESHOLD))):
+                    if text:
+                        out, done = [], 0
+                        for _, s, e in sorted(spans, key=lambda x: x[1:]):
+                            if e > done:
+                                if s >= done:
+                                    out += [text[done:s], mark]
+                                done = e
+                        text = "".join(out) + text[done:]
+                    texts.append(text)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             if n_chars is not None:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from seqspark.llm import secrets as S
 
 RULES = {
@@ -66,3 +68,32 @@ def test_labels_come_from_all_documents_and_each_kind(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     model = S.fit(docs, sample_docs=5, sample_values=20)
     assert set(model.automata) == {"access", "hex"}
+
+
+def test_candidates_of_all_kinds_are_scored(spark):
+    rng = random.Random(6)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    consonants = "bcdfghjklmnpqrstvwxz"
+    rows = [(i, f"api_key={pick(consonants + consonants.upper(), 24)} is set") for i in range(300)]
+    rows += [(1000 + i, "prose has numbers like 4720843956327690 and 12:30, names, " + " ".join(pick("etaoinsrhldcum", rng.randrange(2, 9)) for _ in range(20))) for i in range(300)]
+    found = pick(consonants + consonants.upper(), 24)  # no digit
+    rows += [(5000, f"é {found}. And é (http://example.org/a/long/path/of/ordinary/words) 47208439563276901234"), (5001, f"x.{found}"), (5002, "extraordinarilylongwordofprose")]
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, kind string").repartition(5)
+    for parts in (1, 7):
+        got = {r.doc_id: r.spans for r in S.digest(S.scan(docs.repartition(parts))).collect()}
+        assert got[5000] == "assign:2:26" and got[5002] == "" and got[1000] == ""
+        assert got[5001].endswith(":0:26")
+
+
+def test_scores_are_those_of_the_automata():
+    rng = random.Random(2)
+    values = ["".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(100)]
+    model = S.Model({"hex": values, "assign": [v[::-1] + "x" for v in values]}, ["some", "words", "and", "42"])
+    texts = ["0a" * 9, "ordinary", "", values[0], "A=/.-_+"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    size = np.array([len(t) for t in texts])
+    kind, score = model.scores(data, np.cumsum(size) - size, size)
+    for t, k, s in zip(texts, kind, score):
+        likely = [a.log_likelihood(t) for a in model.automata.values()]
+        x = [S.NUMBERED.index(c) for c in S.symbols(t)]
+        assert k == likely.index(max(likely)) and abs(s * max(len(t), 1) - (max(likely) - max(model.plain[i][x].sum() + model.plain_end[i] for i in range(len(S.SHAPES))))) < 1e-6
