@@ -11,7 +11,8 @@ Blocks of queries meet blocks of the index by key, so no task holds all of eithe
 
 Defined results: a null vector or one with a null or non-finite component takes no part; repeated
 rows of one id are candidates each, queries of one id are asked once (the least vector); vectors of different
-length are compared over the shorter; an empty table gives no rows; other columns are ignored.
+length are compared over the shorter, and one quantised beyond ``LIMIT`` raises an error; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,12 +31,15 @@ from .tables import stored
 BLOCK = 8192
 QUERIES = 64
 QUERY_GROUP = 512
+#: Greatest quantised component: products of 512 such components stay within 64 bits.
+LIMIT = 1 << 27
 U64 = np.uint64
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component, as long."""
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    """floor(scale * x) of each component, as long; an error beyond ``LIMIT``."""
+    whole = lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))
+    return F.transform(vector, lambda x: F.when(F.abs(whole(x)) <= LIMIT, whole(x)).otherwise(F.raise_error(F.lit("a component is too large for 64-bit scores")).cast("long")))
 
 
 def finite(vector: Column) -> Column:

@@ -30,6 +30,7 @@ def queries() -> dict:
         "op8_secret_scan": op8_secret_scan,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_html_extraction": op10_html_extraction,
+        "decontamination_proximity": decontaminate.decontamination_proximity,
     }
 
 

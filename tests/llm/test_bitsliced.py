@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pytest
 
 from seqspark.llm import bitsliced as B
 
@@ -37,3 +38,9 @@ def test_edges(spark):
         want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     assert sorted(got) == sorted(want)
     assert B.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_components_beyond_64_bit_scores_raise(spark):
+    rows = spark.createDataFrame([(0, [1e15, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        B.top_k(rows, rows).collect()
