@@ -1,24 +1,33 @@
-"""Benchmark decontamination by rarest terms and comparison of token arrays, in DataFrame operations.
+"""Benchmark decontamination by a positional inverted index, in DataFrame operations.
 
-No inverted index is stored and no positional lists are intersected: each pass splits the texts anew and
-explodes (document row, position) of every term, dealt by document. A test phrase is looked up by its
-rarest term, by corpus counts over all documents; at each place of that term, moved by its offset, the
-phrase's other terms are compared with the document's own token array. Exact phrase matches and, within
-a slop, unordered proximity matches (by distinct words) come out.
+One pass over the texts stores the index: a posting (document row, position, term) for every occurrence of a
+term that some test phrase has, and one for each document itself. Counts of terms come from the index. A
+phrase is then looked up from its rarest term: the postings of that term, moved back by its offset,
+are the first places; they are intersected with the moved postings of the second rarest term, and what is left
+with those of all others, by equi-joins on (row, term, position). What is left are the exact matches. For proximity
+matches the postings of all words, repeated ones as often as they stand in the phrase, are looked for in any
+order within the phrase's length plus a slop around the rarest.
 
-The phrase table is broadcast only when it has at most ``BROADCAST_PHRASES`` rows (a phrase has at most
-ten words); beyond that postings with their surrounding tokens are joined to it by term.
+The terms and the phrases are broadcast only when there are at most ``BROADCAST_PHRASES`` of them; beyond that they
+are joined by term or phrase, and documents themselves stay out of these joins.
 
 Defined results: null and wordless texts have no words and no hits; empty items have no phrases; items
-without an id are matched but not listed; repeated rows give repeated rows; an empty benchmark leaves all clean.
+without an id are matched but not listed; of equally rare terms the first in the phrase leads; texts of any length
+are indexed whole; repeated rows give repeated rows; an empty benchmark leaves all clean; an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .tables import stored
 
 WINDOW = 10
+#: Words that may stand between a phrase's in a proximity match.
+SLOP = 3
 BROADCAST_PHRASES = 200_000
 #: What is not in a word once A-Z are letters too.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -40,91 +49,102 @@ def phrases_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return w.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s"), window).alias("words")).groupBy("words").agg(F.collect_set("item_id").alias("items"))
 
 
-def index_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: row_id, doc_id and tokens, led by ``HEAD``."""
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.concat(F.array(F.lit(HEAD)), words(F.col(text_col))).alias("tokens"))
-
-
-def postings(index: DataFrame, *columns: str) -> DataFrame:
-    """(row_id, position, term), and ``columns``; a document's words have positions from 1."""
-    return index.select("row_id", *columns, F.posexplode("tokens").alias("position", "term"))
-
-
-def term_counts(index: DataFrame, phrases: DataFrame, few: bool) -> DataFrame:
-    """Occurrences in the index of each term of the phrases; ``few``: the terms may be broadcast."""
-    terms = phrases.select(F.explode("words").alias("term")).distinct()
-    if few:
-        found = postings(index).join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
-    else:
-        found = postings(index).groupBy("term").agg(F.count("*").alias("n"))
-    return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
-
+class Index:
+    """Stored postings (row_id, doc_id, n_words, position, t) of the terms of ``phrases``, and the phrases' members.
 
-def anchored(phrases: DataFrame, counts: DataFrame) -> DataFrame:
-    """Phrases with their rarest term and its offset."""
-    each = phrases.withColumn("phrase", F.xxhash64("words")).select("phrase", "words", "items", F.posexplode("words").alias("offset", "term"))
-    rarest = each.join(counts, "term").groupBy("words").agg(F.min(F.struct("n", "offset", "term")).alias("r"), F.first("items").alias("items"))
-    return rarest.select("words", "items", F.col("r.term").alias("term"), F.col("r.offset").alias("offset"))
-
-
-def _few(phrases: DataFrame) -> bool:
-    """Whether the phrases and their terms are small enough to broadcast."""
-    return phrases.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES
-
-
-def _occurrences(index: DataFrame, anchors: DataFrame, few: bool, wide: int, holds) -> DataFrame:
-    """Anchors' postings joined to their phrases where ``holds(tokens, start)``; start: of the phrase.
-
-    ``wide``: tokens needed on either side of a posting.
+    Words have positions from 1; a posting at position 0 with t = -1 stands for each document.
+    ``members``: (phrase, k, offset, t, rank), k: the phrase's length, rank 1: its rarest term in the index.
     """
-    if few:
-        at = postings(index.withColumn("n_words", F.size("tokens") - 1), "doc_id", "n_words", "tokens")
-        start = F.col("position") - F.col("offset") + 1
-        found = at.join(F.broadcast(anchors), "term").where(holds(F.col("tokens"), start))
-    else:
-        first = F.greatest(F.col("position") + 1 - wide, F.lit(1))
-        at = postings(index.withColumn("n_words", F.size("tokens") - 1), "doc_id", "n_words", "tokens").select("row_id", "doc_id", "n_words", "position", "term", first.alias("first"), F.slice("tokens", first, 2 * wide + 1).alias("near"))
-        found = at.join(anchors, "term").where(holds(F.col("near"), F.col("position") - F.col("offset") + 2 - F.col("first")))
-    return found.select("row_id", "doc_id", "n_words", (F.col("position") - F.col("offset")).alias("start"), F.size("words").alias("length"), "items")
-
 
-def _with_head(anchors: DataFrame) -> DataFrame:
-    """A phrase that each document holds once, so that all documents come out."""
-    head = anchors.sparkSession.range(1).select(F.array(F.lit(HEAD)).alias("words"), F.array().cast("array<string>").alias("items"), F.lit(HEAD).alias("term"), F.lit(0).alias("offset"))
-    return anchors.unionByName(head)
-
-
-def phrase_matches(index: DataFrame, phrases: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row_id, doc_id, n_words, start, length, items) of exact matches; start 0: the document itself."""
-    few = _few(phrases)
-    anchors = _with_head(anchored(phrases, term_counts(index, phrases, few)))
-    exact = lambda tokens, start: (start >= 1) & (F.slice(tokens, F.greatest(start, F.lit(1)), F.size("words")) == F.col("words"))
-    return _occurrences(index, anchors, few, window, exact)
-
-
-def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int, window: int = WINDOW) -> DataFrame:
-    """(row_id, doc_id, start, length, items) where all words of a phrase stand, in any order, within its length plus ``slop``."""
-    few = _few(phrases)
-    anchors = anchored(phrases, term_counts(index, phrases, few))
-    reach = F.size("words") + slop
-
-    def holds(tokens: Column, start: Column) -> Column:
-        at = start + F.col("offset")
-        firsts = F.sequence(F.greatest(at - reach + 1, F.lit(1)), at)
-        return F.exists(firsts, lambda s: F.size(F.array_except(F.col("words"), F.slice(tokens, s, reach))) == 0)
-
-    return _occurrences(index, anchors, few, window + slop, holds).select("row_id", "doc_id", F.col("start"), "length", "items")
+    def __init__(self, docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+        phrases = stored(phrases.withColumn("phrase", F.monotonically_increasing_id()), "phrases")
+        self.phrases = phrases.select("phrase", F.size("words").alias("k"), "items")
+        terms = stored(phrases.select(F.explode("words").alias("term")).distinct().select("term", F.monotonically_increasing_id().alias("t")), "terms")
+        self.few = max(phrases.count(), terms.count()) <= BROADCAST_PHRASES
+        rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.concat(F.array(F.lit(HEAD)), words(F.col(text_col))).alias("tokens"))
+        if not self.few:
+            rows = stored(rows, "rows")
+        rows = rows.select("row_id", "doc_id", (F.size("tokens") - 1).alias("n_words"), "tokens")
+        columns = ["row_id", "doc_id", "n_words", "position", "t"]
+        each = rows.select("row_id", "doc_id", "n_words", F.posexplode("tokens").alias("position", "term"))
+        if self.few:
+            head = terms.sparkSession.range(1).select(F.lit(HEAD).alias("term"), F.lit(-1).cast("long").alias("t"))
+            found = each.join(F.broadcast(terms.unionByName(head)), "term").select(columns)
+        else:
+            whole = rows.select("row_id", "doc_id", "n_words", F.lit(0).alias("position"), F.lit(-1).cast("long").alias("t"))
+            found = each.where(F.col("position") > 0).join(terms, "term").select(columns).unionByName(whole)
+        self.postings = stored(found, "postings")
+        self.documents = self.postings.where("t = -1").select("row_id", "doc_id", "n_words")
+        counts = self.postings.where("t >= 0").groupBy("t").agg(F.count("*").alias("n"))
+        each = phrases.select("phrase", F.size("words").alias("k"), F.posexplode("words").alias("offset", "term")).join(terms, "term").join(counts, "t", "left")
+        rank = F.row_number().over(Window.partitionBy("phrase").orderBy(F.coalesce("n", F.lit(0)), "offset"))
+        self.members = stored(each.select("phrase", "k", "offset", "t", rank.alias("rank")), "members")
+
+    def small(self, df: DataFrame) -> DataFrame:
+        """``df``, a row or ten for each phrase, broadcast where the phrases are few."""
+        return F.broadcast(df) if self.few else df
+
+    def places(self) -> DataFrame:
+        """(row_id, position, phrase, k, offset) of every posting of each phrase's rarest term."""
+        rarest = self.members.where("rank = 1").drop("rank")
+        return self.postings.where("t >= 0").join(self.small(rarest), "t").select("row_id", "position", "phrase", "k", "offset")
+
+    def _narrowed(self, starts: DataFrame, ranks: str) -> DataFrame:
+        """``starts`` (row_id, start, phrase, k) with a posting at its place for each term of these ranks."""
+        wanted = starts.join(self.small(self.members.where(ranks).select("phrase", "offset", "t")), "phrase")
+        wanted = wanted.select("row_id", "t", (F.col("start") + F.col("offset")).alias("position"), "start", "phrase", "k")
+        return wanted.join(self.postings.where("t >= 0").select("row_id", "t", "position"), ["row_id", "t", "position"])
+
+    def exact(self) -> DataFrame:
+        """(row_id, start, phrase, k) of the phrases' occurrences."""
+        first = stored(self.places().select("row_id", (F.col("position") - F.col("offset")).alias("start"), "phrase", "k").where("start >= 1"), "places")
+        columns = ["row_id", "start", "phrase", "k"]
+        second = stored(self._narrowed(first.where("k >= 2"), "rank = 2").select(columns).unionByName(first.where("k = 1")), "places")
+        rest = self._narrowed(second.where("k >= 3"), "rank >= 3").groupBy(columns).agg(F.count("*").alias("n")).where("n = k - 2")
+        return rest.select(columns).unionByName(second.where("k <= 2"))
+
+    def near(self, slop: int, window: int = WINDOW) -> DataFrame:
+        """(row_id, position, phrase, k) of rarest terms with all words of their phrase within k + ``slop`` words, in any order."""
+        wide = window + slop
+        reach = F.col("k") + slop
+        bucket = lambda c: F.floor(F.col(c) / wide)
+        postings = self.postings.where("t >= 0").select("row_id", "t", F.col("position").alias("at")).withColumn("b", bucket("at"))
+
+        def around(places: DataFrame, members: DataFrame) -> DataFrame:
+            spread = places.withColumn("b", F.explode(F.array(*[bucket("position") + d for d in (-1, 0, 1)])))
+            return spread.join(self.small(members), "phrase").join(postings, ["row_id", "t", "b"]).where(F.abs(F.col("at") - F.col("position")) < reach)
+
+        keys = ["row_id", "position", "phrase", "k"]
+        places = stored(self.places().select(keys), "places")
+        second = around(places.where("k >= 2"), self.members.where("rank = 2").select("phrase", "t")).select(keys).distinct()
+        left = stored(second.unionByName(places.where("k = 1")), "places")
+        needs = self.members.groupBy("phrase", "t").agg(F.count("*").alias("m"))
+        found = around(left, needs.drop("m")).groupBy(keys).agg(F.collect_list(F.struct("at", "t")).alias("found"))  # 2 * wide postings at most
+        found = found.join(self.small(needs.groupBy("phrase").agg(F.collect_list(F.struct("t", "m")).alias("needs"))), "phrase")
+        firsts = F.sequence(F.col("position") - reach + 1, F.col("position"))
+        enough = lambda s: F.forall("needs", lambda x: F.size(F.filter("found", lambda y: (y["t"] == x["t"]) & (y["at"] >= s) & (y["at"] < s + reach))) >= x["m"])
+        return found.where(F.exists(firsts, enough)).select(keys)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs``."""
-    found = phrase_matches(index_rows(docs), phrases_of(items, window), window)
-    rows = found.groupBy("row_id", "doc_id").agg(F.max("n_words").cast("long").alias("n_words"), F.collect_set(F.when(F.col("start") > 0, F.struct(F.col("start").alias("s"), (F.col("start") + F.col("length")).alias("e")))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    index = Index(docs, phrases_of(items, window))
+    found = index.exact().join(index.small(index.phrases.select("phrase", "items")), "phrase")
+    hit = found.groupBy("row_id").agg(F.collect_set(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("k")).alias("e"))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     step = lambda acc, h: F.struct((acc["n"] + F.greatest(F.lit(0), h["e"] - F.greatest(h["s"], acc["e"]))).cast("long").alias("n"), F.greatest(acc["e"], h["e"]).alias("e"))
     n_hit = F.aggregate(F.array_sort("hits"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("e")), step)["n"]
-    return rows.select("row_id", "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256")).select(
-        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated")
-    )
+    hit = hit.select("row_id", n_hit.alias("n_hit"), F.array_sort("items").alias("items"))
+    none = F.array().cast("array<string>")
+    out = index.documents.join(hit, "row_id", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", none))
+    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def proximity(docs: DataFrame, items: DataFrame, slop: int = SLOP, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words and n_near (items with a phrase near together) of every row of ``docs``."""
+    index = Index(docs, phrases_of(items, window))
+    found = index.near(slop, window).select("row_id", "phrase").distinct().join(index.small(index.phrases.select("phrase", "items")), "phrase")
+    near = found.groupBy("row_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("items")))).cast("long").alias("n_near"))
+    return index.documents.join(near, "row_id", "left").select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -133,6 +153,12 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def decontamination_proximity(spark, sf_dir: str) -> DataFrame:
+    from .tables import table
+
+    return proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),

@@ -54,8 +54,35 @@ def test_edges(spark, monkeypatch):
     assert {r.contaminated for r in D.contamination(a, b.limit(0)).collect()} == {False}
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "gamma x alpha y beta"), (2, "alpha beta q q q q q q gamma"), (3, "alpha gamma")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    got = D.proximity_matches(D.index_rows(docs), D.phrases_of(items), slop=2)
-    assert {r.doc_id for r in got.collect()} == {1}
+def test_proximity(spark, monkeypatch):
+    docs = [(1, "gamma x alpha y beta"), (2, "alpha beta q q q q q q gamma"), (3, "alpha gamma"), (4, "beta gamma alpha"), (None, None), (5, "no x no go"), (6, "go x no no"), (7, "no go " * 4000)]
+    items = [(1, "alpha beta gamma"), (2, "no no go"), (3, "lone"), (4, None)]
+    a = spark.createDataFrame([(*d, "z") for d in docs], "doc_id long, text string, k string").repartition(2)
+    b = spark.createDataFrame(items, "item_id long, text string")
+
+    def near(text, phrase, slop):
+        w, n = tok(text), len(phrase) + slop
+        return any(all(w[s : s + n].count(x) >= phrase.count(x) for x in phrase) for s in range(len(w)))
+
+    for limit in (D.BROADCAST_PHRASES, 0):
+        monkeypatch.setattr(D, "BROADCAST_PHRASES", limit)
+        for slop in (0, 2):
+            want = sorted((d, len(tok(t)), sum(near(t, tok(x), slop) for _, x in items if tok(x))) for d, t in docs if d)
+            got = sorted((tuple(r) for r in D.proximity(a, b, slop).collect() if r.doc_id), key=str)
+            assert got == want and (slop == 0 or want[0][2] == 1)
+    assert D.proximity(a.limit(0), b).count() == 0
+
+
+def test_proximity_query_finds_what_is_exact(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r.n_near for r in D.decontamination_proximity(spark, sf).collect()}
+    exact = {r.doc_id: r.n_items for r in D.op3_decontamination(spark, sf).collect()}
+    assert got.keys() == exact.keys() and all(got[k] >= exact[k] for k in got)
+
+
+def test_one_common_term_and_a_long_text(spark, monkeypatch):
+    docs = [(i, "the " * 30 + f"w{i} the end") for i in range(60)] + [(99, "the " * 100_000)]
+    items = [(1, "the the the"), (2, "the end"), (3, "the")]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(D, "BROADCAST_PHRASES", 0)
+    assert sorted((tuple(r) for r in D.contamination(a, b).collect()), key=str) == brute(docs, items)
