@@ -52,18 +52,35 @@ def _flip(code: Column, bits: int) -> Column:
     return F.bitwise_not(code).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) if bits < 64 else F.bitwise_not(code)
 
 
+#: Code of infinity; greater ones are NaN.
+INFINITY = 0x7FF0 << 48
+
+
 @F.pandas_udf(T.LongType())
-def encode_double(key: pd.Series) -> pd.Series:
-    """A double as a signed number that compares like it; NaN last, -0.0 just before 0.0, null stays."""
-    x = key.to_numpy(np.float64, na_value=np.nan)
-    bits = np.where(np.isnan(x), np.float64("nan"), x).view(np.int64)
-    return pd.Series(bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))).where(key.notna().to_numpy() | np.isnan(key.to_numpy(np.float64, na_value=0.0)), None).astype("Int64")
+def _double_bits(key: pd.Series) -> pd.Series:
+    x = key.to_numpy(np.float64)
+    return pd.Series(_turned(np.where(np.isnan(x), np.nan, x).view(np.int64)))
 
 
 @F.pandas_udf(T.DoubleType())
-def decode_double(code: pd.Series) -> pd.Series:
-    bits = code.fillna(0).to_numpy(np.int64)
-    return pd.Series((bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))).view(np.float64)).where(code.notna().to_numpy(), None)
+def _bits_double(code: pd.Series) -> pd.Series:
+    return pd.Series(_turned(code.to_numpy(np.int64)).view(np.float64))
+
+
+def _turned(bits: np.ndarray) -> np.ndarray:
+    """Negative numbers with all bits but the sign turned over."""
+    return bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))
+
+
+def encode_double(key: str | Column) -> Column:
+    """A double as a signed number that compares like it; NaN last, -0.0 just before 0.0, null stays."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.when(key.isNotNull(), _double_bits(F.coalesce(key, F.lit(0.0))))
+
+
+def decode_double(code: str | Column) -> Column:
+    code = F.col(code) if isinstance(code, str) else code
+    return F.when(code > INFINITY, F.lit(float("nan"))).when(code.isNotNull(), _bits_double(F.coalesce(code, F.lit(0).cast("long"))))
 
 
 def extract_digit(code: Column, start: int, radix_bits: int) -> Column:
