@@ -4,22 +4,22 @@ A byte of a document goes if a string of ``length`` (50) bytes over it also star
 smaller id. Whole texts are compared, in these steps:
 
 0. A text that a smaller id has whole goes whole; the rest works on texts without these copies.
-1. Every window of ``length`` bytes has a minimizer, the ``K`` bytes in it with the least hash; equal windows
-   have equal minimizers. Minimizers in at least two rows are marked in a bit table (its size follows
-   the input up to ``MAX_TABLE`` bits; a false mark only costs work).
-2. Windows in a row with one marked minimizer form a segment of at most ``2 * length`` bytes. Equal
-   segments are found by key and hash (95 bits) and give their least id. Minimizers met more than ``HOT`` times are
-   dealt window by window, by the window's hash, so no group grows with them.
-3. Unlike segments with one minimizer may share windows too. Their bytes are dealt to buckets by
-   minimizer, and in each bucket the transform of all segments is built by inserting one symbol of every segment a
-   round, from the last to the first; then common prefixes are extended column by column along the
-   suffix order. Neighbours sharing ``length`` symbols are one string, whose least id is taken.
+1. Every window of ``length`` bytes has a key: the hash of its minimizer, the ``K`` bytes in it with the least hash,
+   and of 13 bytes on one side of it; equal windows have equal keys. Keys in at least two rows are marked in a bit
+   table (its size follows the input up to ``MAX_TABLE`` bits; a false mark only costs work).
+2. Windows in a row with one marked key form a segment of at most 63 bytes. Equal segments are found by key and
+   hash (95 bits) and give their least id. Keys met more than ``HOT`` times are dealt window by window, by the
+   window's hash, so no group grows with them.
+3. Unlike segments with one key may share windows too. Their bytes are dealt to buckets by key, and in each
+   bucket the transform of all segments is built by inserting one symbol of every segment a round, from the last
+   to the first; the common prefixes of neighbouring suffixes are updated in the same round, from those of the round before.
+   Neighbours sharing ``length`` symbols are one string, whose least id is taken.
 4. Least ids of segments, and of runs of their windows, are joined back to all occurrences; texts with a
    hit (found by a bit table, then exactly) are joined to their spans and cut.
 
 Defined results: a null text is empty; texts under ``length`` bytes stay whole; matches never cross
 documents; rows of one id do not remove each other; an empty table gives no rows; columns other than id and
-text are ignored. Rows without an id lose what any id has and remove nothing.
+text are ignored, whatever their names. Texts of any length are compared whole. Rows without an id lose what any id has and remove nothing.
 """
 
 from __future__ import annotations
@@ -34,34 +34,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
-from .textops import BASE_INV, U64, chunks, mix64, powers, prefix_hash, span_hash, utf8
+from .tables import ship_code, stored
+from .textops import BASE_INV, U64, chunks, mix64, pack_steps, powers, prefix_hash, span_hash, unpack_steps, utf8
 
 LENGTH = 50
 K = 24
 HOT = 20_000
 COPY_BITS = 24
 MAX_TABLE = 1 << 29
-SEGMENT_BYTES, BUCKET_BYTES, BATCH_BYTES = 8 << 20, 6 << 20, 6 << 20
-FRACTION = 24
+SEGMENT_BYTES, BUCKET_BYTES, BATCH_BYTES = 8 << 20, 2 << 20, 6 << 20
+FRACTION = 28
+#: Rows and bytes of text that a task works on at a time.
+ROWS, TEXT_BYTES = 512, 1 << 18
 NO_ID = np.iinfo(np.int64).max
 
 
 def minimizers(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window and minimizer hash of every run of windows with one minimizer, and run lengths."""
-    width = length - K + 1
+    """First window and key of every run of windows with one key, and run lengths.
+
+    A window's minimizer is the leftmost of its ``K`` bytes with the least hash. Its key is the hash of the minimizer and
+    of ``(length - K) // 2`` bytes before it, where the window has as many, else of as many after it.
+    """
+    width, half = length - K + 1, (length - K) // 2
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
     h = prefix_hash(data)
-    least = mix64((h[K:] - h[:-K]) * powers(len(data) - K + 1, BASE_INV))
-    step = 1
+    back = powers(len(data) + 1, BASE_INV)
+    each = (h[K:] - h[:-K]) * back[: len(data) - K + 1]
+    each ^= each >> U64(29)
+    each *= U64(0xBF58476D1CE4E5B9)
+    each &= ~U64(0xFFFFFFFF)
+    least, step = each | np.arange(len(each), dtype=U64), 1  # hash, then place: of equal ones the leftmost
     while 2 * step <= width:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
     if step < width:
         least = np.minimum(least[: len(least) - (width - step)], least[width - step :])
     inside = np.zeros(len(least) + 1, bool)  # windows within one document, at 1 + window
-    for a, b in zip(off[:-1], off[1:]):
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
         if b - a >= length:
             inside[1 + a : 1 + b - length + 1] = True
     first = inside[1:].copy()
@@ -70,8 +80,17 @@ def minimizers(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarr
     first[edge] = inside[1 + edge]
     start = np.flatnonzero(first)
     total = np.concatenate([[0], np.cumsum(inside[1:])])
-    run = np.diff(total[np.concatenate([start, [len(least)]])])
-    return start, mix64(least[start] + U64(1)), run  # least values crowd near 0; mixed, they spread evenly
+    end = start + np.diff(total[np.concatenate([start, [len(least)]])])
+    at = (least[start] & U64(0xFFFFFFFF)).astype(np.int64)
+    split = np.clip(at - half + 1, start, end)
+    parts = []
+    for x, y, gram, salt in ((start, split, at - half, 1), (split, end, at, 2)):
+        some = np.flatnonzero(x < y)
+        gram = gram[some]
+        parts.append((x[some], mix64((h[gram + K + half] - h[gram]) * back[gram] + U64(salt)), (y - x)[some]))
+    x, key, n = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(x, kind="stable")
+    return x[order], key[order], n[order]
 
 
 def _in_table(table: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
@@ -87,46 +106,44 @@ def _kept_rows(batch: pa.RecordBatch, copies: np.ndarray) -> pa.Array:
 
 def _texts(batches: Iterator[pa.RecordBatch], copies: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, text keys, bytes, offsets) of some documents at a time."""
-    for batch in batches:
-        batch = batch.filter(_kept_rows(batch, copies))
-        ids, t = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        data, off = utf8(batch.column(1))
-        for i, j in chunks(off):
-            yield ids[i:j], t[i:j], data[off[i] : off[j]], off[i : j + 1] - off[i]
-
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
+            batch = batch.filter(_kept_rows(batch, copies))
+            ids, t = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            data, off = utf8(batch.column(1))
+            for i, j in chunks(off, TEXT_BYTES):
+                yield ids[i:j], t[i:j], data[off[i] : off[j]], off[i : j + 1] - off[i]
 
-def _pack(h: np.ndarray) -> bytes:
-    """Ascending numbers as their steps, compressed."""
-    return zlib.compress(np.diff(h, prepend=U64(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
-
-def _unpack(raws) -> np.ndarray:
-    parts = [np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for raw in raws]
-    return np.concatenate([np.cumsum(p, dtype=U64) for p in parts]) if parts else np.zeros(0, U64)
+def _places(h: np.ndarray, stretch: int) -> np.ndarray:
+    """Two places of each key in its segment's stretch of the bit table, by the key's ``FRACTION`` bits there."""
+    other = (mix64(h + U64(1)) >> U64(64 - FRACTION)) if len(h) else h
+    return np.stack([(h * U64(stretch)) >> U64(FRACTION), (other * U64(stretch)) >> U64(FRACTION)]).astype(np.int64)
 
 
 def marks(docs: DataFrame, length: int, bits: int, table_bits: int, copies) -> tuple[np.ndarray, np.ndarray]:
-    """Bit tables, by the first bits of the hash, of shared and of hot minimizers.
+    """Bit tables, by the first bits of the hash, of shared and of hot keys.
 
-    A segment holds the hashes with the same first ``bits`` bits and so a stretch of either table.
+    A segment holds the keys with the same first ``bits`` bits and so a stretch of either table.
     """
     stretch = (1 << table_bits) >> bits
 
     def run(batches):
         def flush(parts):
             h, n = np.unique(np.concatenate(parts), return_counts=True)
-            edges = np.concatenate([np.searchsorted(h, np.arange(1 << bits, dtype=U64) << U64(64 - bits)), [len(h)]])
+            where, first = np.unique((h >> U64(64 - bits)).astype(np.int32), return_index=True)  # no empty rows
             rest = (h << U64(bits)) >> U64(64 - FRACTION)
-            rows = [(rest[a:b], n[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-            columns = [[_pack(r[k == 1]) for r, k in rows], [_pack(r[k > 1]) for r, k in rows], [k[k > 1].astype(np.uint32).tobytes() for _, k in rows]]
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(1 << bits, dtype=np.int32)), *[pa.array(c, pa.binary()) for c in columns]], ["segment", "once", "more", "counts"])
+            rows = [(rest[a:b], n[a:b]) for a, b in zip(first, [*first[1:], len(h)])]
+            columns = [[pack_steps(r[k == 1]) for r, k in rows], [pack_steps(r[k > 1]) for r, k in rows], [k[k > 1].astype(np.uint32).tobytes() for _, k in rows]]
+            return pa.RecordBatch.from_arrays([pa.array(where), *[pa.array(c, pa.binary()) for c in columns]], ["segment", "once", "more", "counts"])
 
         held, size = [], 0
         for _, _, data, off in _texts(batches, copies.value):
             start, h, _ = minimizers(data, off, length)
             owner = np.searchsorted(off, start, "right").astype(U64)
             _, once = np.unique(mix64(h + owner * U64(0x9E3779B97F4A7C15)), return_index=True)
-            held.append(h[once])  # each minimizer once for each document
+            held.append(h[once])  # each key once for each document
             size += len(data)
             if size >= BATCH_BYTES:
                 yield flush(held)
@@ -135,18 +152,17 @@ def marks(docs: DataFrame, length: int, bits: int, table_bits: int, copies) -> t
             yield flush(held)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        once, more = _unpack(pdf.once), _unpack(pdf.more)
+        once, more = unpack_steps(pdf.once), unpack_steps(pdf.more)
         h = np.concatenate([once, more])
         n = np.concatenate([np.ones(len(once), np.int64), np.frombuffer(b"".join(pdf.counts), np.uint32).astype(np.int64)])
         order = np.argsort(h, kind="stable")
         h, n = h[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         n = np.add.reduceat(n, first) if len(first) else n
-        place = (h[first] * U64(stretch)) >> U64(FRACTION)
         out = {"segment": [pdf.segment.iloc[0]]}
         for name, most in (("shared", 1), ("hot", HOT)):
             bitmap = np.zeros(stretch, bool)
-            bitmap[place[n > most].astype(np.int64)] = True
+            bitmap[_places(h[first[n > most]], stretch)] = True
             out[name] = [np.packbits(bitmap, bitorder="little").tobytes() if bitmap.any() else b""]
         return pd.DataFrame(out)
 
@@ -161,19 +177,20 @@ def marks(docs: DataFrame, length: int, bits: int, table_bits: int, copies) -> t
     return tables[0], tables[1]
 
 
-def _marked(table: np.ndarray, h: np.ndarray, table_bits: int) -> np.ndarray:
+def _marked(table: np.ndarray, h: np.ndarray, table_bits: int, bits: int) -> np.ndarray:
     if not len(table):
         return np.zeros(len(h), bool)
-    at = (h >> U64(64 - table_bits)).astype(np.int64)
-    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    stretch = (1 << table_bits) >> bits
+    at = _places((h << U64(bits)) >> U64(64 - FRACTION), stretch) + (h >> U64(64 - bits)).astype(np.int64) * stretch
+    return ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1).all(axis=0)
 
 
-def segments(data, off, length, shared, hot, table_bits):
-    """(start, end, key, hash) of the segments with marked minimizers; key: the minimizer, or the hash of a hot one's window."""
+def segments(data, off, length, shared, hot, table_bits, bits):
+    """(start, end, key, hash) of the segments with marked keys; the key of a hot one's window is the window's hash."""
     start, h, run = minimizers(data, off, length)
-    keep = _marked(shared, h, table_bits)
+    keep = _marked(shared, h, table_bits, bits)
     start, h, run = start[keep], h[keep], run[keep]
-    is_hot = _marked(hot, h, table_bits)
+    is_hot = _marked(hot, h, table_bits, bits)
     size = np.where(is_hot, 1, length - K + 1)
     pieces = -(-run // size)
     at = np.repeat(start, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * np.repeat(size, pieces)
@@ -182,63 +199,72 @@ def segments(data, off, length, shared, hot, table_bits):
     return at, end, np.where(np.repeat(is_hot, pieces), own, np.repeat(h, pieces)), own
 
 
-def transform(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Burrows-Wheeler transform of all strings: 0 ends a string, a byte is one more.
+def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Minimum of values[low : high + 1] of each pair, low <= high, by minima over powers of two."""
+    size = high - low + 1
+    power = np.frexp(size)[1] - 1
+    out, level = np.empty(len(low), values.dtype), values
+    for k in range(int(power.max(initial=-1)) + 1):
+        if k:
+            level = np.minimum(level[: -(1 << (k - 1))], level[1 << (k - 1) :])
+        who = np.flatnonzero(power == k)
+        out[who] = np.minimum(level[low[who]], level[high[who] - (1 << k) + 1])
+    return out
+
 
-    Round j inserts, at the place that the transform so far gives it, the symbol before each string's suffix of length j.
+def transform(data: np.ndarray, off: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Burrows-Wheeler transform of all strings, 0 ending a string and a byte being one more, and its rows' common prefixes.
+
+    Round j inserts, at the place that the transform so far gives it, the symbol before each string's suffix of
+    length j. The suffix shares with its neighbour of the same first symbol one symbol more than the suffixes after that
+    symbol share, which the rows so far tell; prefixes over ``most`` (up to 127) count as ``most``.
     """
     m, size = len(off) - 1, np.diff(off)
     symbol = np.concatenate([data, [0]]).astype(np.uint8) + np.uint8(1)
     before = lambda j, who: np.where(size[who] > j, symbol[np.maximum(off[1:][who] - 1 - j, 0)], 0).astype(np.uint8)
     who = np.arange(m)
-    out, place = before(0, who), np.arange(m)
+    out, place, common = before(0, who), np.arange(m), np.zeros(m, np.int8)
     for j in range(1, int(size.max(initial=0)) + 1):
         active = size[who] >= j
         who, place = who[active], place[active]
         order = np.argsort(out, kind="stable")
         rank = np.empty(len(out), np.int64)
         rank[order] = np.arange(len(out))
-        place = m + rank[place] - np.count_nonzero(out == 0)
-        old = np.ones(len(out) + len(who), bool)
-        old[place] = False
-        grown = np.empty(len(old), np.uint8)
-        grown[old], grown[place] = out, before(j, who)
-        out = grown
-    return out
+        at = rank[place]
+        ends = np.count_nonzero(out == 0)
+        grown = np.zeros(m + len(out) - ends, np.int8)
+        old = np.ones(len(grown), bool)
+        old[m + at - ends] = False
+        grown[old] = common
+        for first, last in ((at - 1, at), (at, np.minimum(at + 1, len(out) - 1))):  # with the row before, and the row after with this one
+            x, y = order[np.maximum(first, 0)], order[last]
+            same = (first >= 0) & (first < last) & (out[x] == out[y])
+            shared = np.zeros(len(at), np.int8)
+            shared[same] = np.minimum(_least_between(common, x[same] + 1, y[same]), most - 1) + 1
+            row = m + last - ends
+            grown[row[first < last]] = shared[first < last]
+        symbols = np.empty(len(grown), np.uint8)
+        place = m + at - ends
+        symbols[old], symbols[place] = out, before(j, who)
+        out, common = symbols, grown
+    return out, common
 
 
 def least_ids(data: np.ndarray, off: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Least id over equal windows, for every window of every string, and offsets of the strings' windows."""
     m, size = len(off) - 1, np.diff(off)
-    bwt = transform(data, off)
+    bwt, common = transform(data, off, length)
     order = np.argsort(bwt, kind="stable")
-    step = np.empty(len(bwt), np.int64)
-    step[order] = np.arange(len(bwt))
-    step += m - np.count_nonzero(bwt == 0)
+    step = np.empty(len(bwt), np.int32)
+    step[order] = np.arange(len(bwt), dtype=np.int32)
+    step += np.int32(m - np.count_nonzero(bwt == 0))
     string, offset = np.zeros(len(bwt), np.int32), np.zeros(len(bwt), np.int32)
-    place, at = np.arange(m), np.full(len(data), -1, np.int64)
+    place = np.arange(m)
     string[:m], offset[:m] = np.arange(m), size
     for j in range(1, int(size.max(initial=0)) + 1):
         who = np.flatnonzero(size >= j)
         place[who] = step[place[who]]
         string[place[who]], offset[place[who]] = who, size[who] - j
-        at[off[who] + size[who] - j] = place[who]
-    common, held = np.zeros(len(bwt), np.int16), np.zeros(m, np.int64)
-    for o in range(int(size.max(initial=0)) - length + 1):  # a prefix shrinks by one at most from column to column
-        who = np.flatnonzero(size - o >= length)
-        p = at[off[who] + o]
-        other, o2 = string[p - 1], offset[p - 1]
-        h = np.maximum(held[who] - 1, 0)
-        limit = np.minimum(length, size[other] - o2)
-        a, b = off[who] + o, off[other] + o2
-        h = np.minimum(h, limit)
-        grow = np.flatnonzero(h < limit)
-        while len(grow):
-            same = data[a[grow] + h[grow]] == data[b[grow] + h[grow]]
-            grow = grow[same]
-            h[grow] += 1
-            grow = grow[h[grow] < limit[grow]]
-        held[who], common[p] = h, h
     windows = np.maximum(size - length + 1, 0)
     woff = np.concatenate([[0], np.cumsum(windows)])
     out = np.zeros(woff[-1], np.int64)
@@ -260,7 +286,7 @@ def _bit_table(ids: DataFrame, column: str, bits: int) -> np.ndarray:
 
 
 def _narrow(h: np.ndarray) -> np.ndarray:
-    """A minimizer's group: 31 bits of its hash; unlike minimizers in one group only share a transform."""
+    """A key's group: 31 of its bits; unlike keys in one group only share a transform."""
     return (h >> U64(33)).astype(np.int64)
 
 
@@ -287,10 +313,11 @@ def _split_copies(rows: DataFrame, length: int):
 
 def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row."""
+    ship_code(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"), F.lit(False).alias("force"))
     rows = rows.withColumn("r", F.xxhash64("doc_id", "t"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    bits = max(4, int(n_bytes // SEGMENT_BYTES).bit_length())
+    bits = max(8, int(n_bytes // SEGMENT_BYTES).bit_length())
     table_bits = min(max(int(n_bytes * 0.15).bit_length(), 20), MAX_TABLE.bit_length() - 1)
     context = rows.sparkSession.sparkContext
     gone, rows, copies = _split_copies(rows, length)
@@ -299,7 +326,7 @@ def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     def occur(batches):
         for ids, t, data, off in _texts(batches, copies.value):
-            a, b, h, s = segments(data, off, length, *tables.value, table_bits)
+            a, b, h, s = segments(data, off, length, *tables.value, table_bits, bits)
             if len(a):
                 d = np.searchsorted(off, a, "right") - 1
                 columns = [_narrow(h), s.view(np.int64), ids[d], t[d], (a - off[d]).astype(np.int32), (b - a - length + 1).astype(np.int32)]
@@ -313,7 +340,7 @@ def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     def emit(batches):
         for ids, _, data, off in _texts(batches, copies.value):
-            a, b, h, s = segments(data, off, length, *tables.value, table_bits)
+            a, b, h, s = segments(data, off, length, *tables.value, table_bits, bits)
             m = _narrow(h)
             keep = np.flatnonzero(_in_table(mixed_table.value, m, mixed_bits))
             keep = keep[np.lexsort((ids[np.searchsorted(off, a[keep], "right") - 1], s[keep], m[keep]))]
@@ -378,9 +405,11 @@ def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     def pick(wanted: bool):
         def run(batches):
-            for batch in batches:
-                batch = batch.filter(_kept_rows(batch, copies.value))
-                yield batch.filter(pa.array(_in_table(cut_table.value, batch.column(2).to_numpy(), cut_bits) == wanted)).select([0, 1, 2])
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(at, ROWS)
+                    batch = batch.filter(_kept_rows(batch, copies.value))
+                    yield batch.filter(pa.array(_in_table(cut_table.value, batch.column(2).to_numpy(), cut_bits) == wanted)).select([0, 1, 2])
 
         return run
 

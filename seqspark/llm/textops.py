@@ -5,6 +5,7 @@ They run inside Arrow tasks; Spark deals the rows. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,3 +107,14 @@ def word_hashes(low: np.ndarray, off: np.ndarray, separator: np.ndarray) -> tupl
         return np.zeros(0, U64), np.zeros(len(off) - 1, np.int64)
     start, end, counts = words(low, off, separator)
     return span_hash(prefix_hash(low), start, end), counts
+
+
+def pack_steps(values: np.ndarray) -> bytes:
+    """Ascending numbers below 2**32 as their steps, byte by byte, compressed."""
+    return zlib.compress(np.diff(values, prepend=values.dtype.type(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1) if len(values) else b""
+
+
+def unpack_steps(raws) -> np.ndarray:
+    """The numbers of several packs, one pack after another."""
+    parts = [np.cumsum(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=U64) for raw in raws if len(raw)]
+    return np.concatenate(parts) if parts else np.zeros(0, U64)

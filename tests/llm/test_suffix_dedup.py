@@ -30,7 +30,10 @@ def test_transform_is_the_sorted_order():
     strings = [bytes(rng.choice(b"ab\x00") for _ in range(rng.randrange(0, 12))) for _ in range(60)]
     off = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
     suffixes = sorted(((s[k:], i, s[k - 1] + 1 if k else 0) for i, s in enumerate(strings) for k in range(len(s) + 1)), key=lambda x: x[0])
-    got = S.transform(np.frombuffer(b"".join(strings), np.uint8), off)
+    got, common = S.transform(np.frombuffer(b"".join(strings), np.uint8), off, 5)
+    share = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    texts = [x[0] for x in suffixes]
+    assert common.tolist() == [0] + [min(5, share(a, b)) for a, b in zip(texts, texts[1:])]
     by = {}
     for text, _, c in suffixes:
         by.setdefault(text, []).append(c)
@@ -40,6 +43,22 @@ def test_transform_is_the_sorted_order():
         at += len(by[text])
 
 
+def test_equal_windows_have_equal_keys():
+    rng = random.Random(4)
+    core = bytes(rng.choice(b"abcd") for _ in range(120))
+    texts = [bytes(rng.choice(b"abcd") for _ in range(rng.randrange(60))) + core[rng.randrange(40) : 60 + rng.randrange(60)] + b"ab" * rng.randrange(60) for _ in range(40)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = b"".join(texts)
+    start, key, run = S.minimizers(np.frombuffer(data, np.uint8), off, 50)
+    seen, keys = {}, {}
+    for a, k, n in zip(start.tolist(), key.tolist(), run.tolist()):
+        for w in range(a, a + n):
+            assert w not in seen
+            seen[w] = k
+            assert keys.setdefault(data[w : w + 50], k) == k
+    assert sorted(seen) == [w for a, b in zip(off[:-1].tolist(), off[1:].tolist()) for w in range(a, b - 49)]
+
+
 def test_query_on_given_documents(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
