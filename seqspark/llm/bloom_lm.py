@@ -18,12 +18,15 @@ and the rounds run over that table, whose size depends on the levels only.
 
 The base score needs exact counts, which the segments answer together with the levels.
 
-Defined results: a null or empty text is one end token; repeated rows give repeated rows; without
-training rows all probabilities are 1; an empty table gives no rows; other columns are ignored.
+Defined results: a null or empty text is one end token; a text of any length is scored whole; repeated rows
+give repeated rows with one score, rows without an id too; n-grams of equal counts have equal levels; without
+training rows all probabilities are 1; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
-from .textops import LOWER, SPACE, U64, chunks, mix64, utf8, word_hashes
+from .tables import ship_code, stored
+from .textops import LOWER, SPACE, U64, chunks, mix64, pack_steps, unpack_steps, utf8, word_hashes
 
 BITS, PROBES = 12, 6
 LEVELS = 130
 BATCH_BYTES = 6 << 20
 SEGMENT_BYTES = 8 << 20
+#: Of the number of segments, so that rows between batches and segments grow with the batches alone in small inputs;
+#: in large ones no row is made for a segment that a batch has nothing for.
+LEAST_BITS = 8
 END, BEGIN = U64(0x51ED270B9F3C1A55), U64(0x2545F4914F6CDD1D)
-FRACTION = 40  # bits kept of a pair's hash inside its segment
+FRACTION = 32  # bits kept of a pair's hash inside its segment
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,15 +78,19 @@ def value_of(level: np.ndarray, least: int) -> np.ndarray:
     return np.where(level > 0, least * 2.0 ** ((level - 1) / 2), 0.0)
 
 
-def _pack(h: np.ndarray) -> bytes:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : FRACTION // 8].tobytes()
+def _width(bits: int) -> int:
+    """Bytes of a hash that its segment does not tell."""
+    return 8 - bits // 8
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    part = np.frombuffer(raw, np.uint8).reshape(-1, FRACTION // 8)
-    out = np.zeros((len(part), 8), np.uint8)
-    out[:, : FRACTION // 8] = part
-    return out.view("<u8").ravel()
+def _pack(words: np.ndarray, bits: int) -> bytes:
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _width(bits)].tobytes()
+
+
+def _unpack(segment: int, raw: bytes, bits: int) -> np.ndarray:
+    out = np.zeros((len(raw) // _width(bits), 8), np.uint8)
+    out[:, : _width(bits)] = np.frombuffer(raw, np.uint8).reshape(-1, _width(bits))
+    return out.view("<u8").ravel() | U64(int(segment) << (64 - bits))
 
 
 def fraction(h: np.ndarray, bits: int) -> np.ndarray:
@@ -88,10 +98,11 @@ def fraction(h: np.ndarray, bits: int) -> np.ndarray:
     return (h << U64(bits)) >> U64(64 - FRACTION)
 
 
-def _edges(h: np.ndarray, bits: int) -> np.ndarray:
-    """Where each segment begins among sorted hashes."""
-    firsts = np.arange(1 << bits, dtype=U64) << U64(64 - bits)
-    return np.concatenate([np.searchsorted(h, firsts), [len(h)]])
+def _ranges(words: np.ndarray, two: np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Segments that have any of the sorted hashes, and their words and pairs, with where they begin."""
+    own = [(h >> U64(64 - bits)).astype(np.int32) for h in (words, two)]
+    which = np.union1d(*own)
+    return which, *[np.searchsorted(o, np.concatenate([which, [1 << bits]])) for o in own]
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,19 +116,18 @@ COUNTED = "segment int, words binary, word_counts binary, once binary, more bina
 MERGED = "segment int, words binary, word_counts binary, bits binary, n_tokens long, n_types long, q double, rare long"
 
 
-def count(train: DataFrame, bits: int) -> DataFrame:
+def count(train: DataFrame, bits: int, filter_bits: int = BITS) -> DataFrame:
     """Exact word counts and the filter's bits by segment. ``train``: one text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts):
             w, n = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
             p, m = np.unique(np.concatenate([p[1] for p in parts]), return_counts=True)
-            we, pe = _edges(w, bits), _edges(p, bits)
+            which, we, pe = _ranges(w, p, bits)
             rows = []
-            for s in range(1 << bits):
-                a, b, c, d = we[s], we[s + 1], pe[s], pe[s + 1]
+            for s, a, b, c, d in zip(which, we[:-1], we[1:], pe[:-1], pe[1:]):
                 f, k = fraction(p[c:d], bits), m[c:d]
-                rows.append((s, w[a:b].tobytes(), n[a:b].astype(np.int64).tobytes(), _pack(f[k == 1]), _pack(f[k > 1]), k[k > 1].astype(np.int64).tobytes()))
+                rows.append((s, _pack(w[a:b], bits), n[a:b].astype(np.int64).tobytes(), pack_steps(f[k == 1]), pack_steps(f[k > 1]), k[k > 1].astype(np.int64).tobytes()))
             names = [x.split()[0] for x in COUNTED.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*rows))], names)
 
@@ -136,11 +146,12 @@ def count(train: DataFrame, bits: int) -> DataFrame:
             yield flush(held)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, n = _summed(np.frombuffer(b"".join(pdf.words), U64), np.frombuffer(b"".join(pdf.word_counts), np.int64))
-        once, more = _unpack(b"".join(pdf.once)), _unpack(b"".join(pdf.more))
+        segment = pdf.segment.iloc[0]
+        w, n = _summed(_unpack(segment, b"".join(pdf.words), bits), np.frombuffer(b"".join(pdf.word_counts), np.int64))
+        once, more = unpack_steps(pdf.once), unpack_steps(pdf.more)
         p, m = _summed(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), np.frombuffer(b"".join(pdf.more_counts), np.int64)]))
         q = float((value_of(level_of(n, 1), 1) * 2**0.25).sum())
-        return pd.DataFrame({"segment": [pdf.segment.iloc[0]], "words": [w.tobytes()], "word_counts": [n.tobytes()], "bits": [_segment_bits(w, n, p.astype(U64), m).tobytes()], "n_tokens": [int(n.sum())], "n_types": [len(w)], "q": [q], "rare": [int((n == 1).sum())]})
+        return pd.DataFrame({"segment": [segment], "words": [_pack(w, bits)], "word_counts": [n.tobytes()], "bits": [_segment_bits(w, n, p.astype(U64), m, filter_bits).tobytes()], "n_tokens": [int(n.sum())], "n_types": [len(w)], "q": [q], "rare": [int((n == 1).sum())]})
 
     return train.mapInArrow(run, COUNTED).groupBy("segment").applyInPandas(merge, MERGED)
 
@@ -152,15 +163,16 @@ class Filter:
         self.words, self.start, self.bits = words, start, bits
 
     def _hit(self, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Places of the keys that all probes find."""
         size = (self.start[1:] - self.start[:-1])[segment].astype(U64)
-        hit = size > U64(0)
-        first, step = mix64(key), mix64(key ^ U64(0x94D049BB133111EB)) | U64(1)
-        size = np.maximum(size, U64(1))
-        for i in range(PROBES):
-            at = self.start[segment] + ((first + U64(i) * step) % size).astype(np.int64)
-            at = np.minimum(at, 64 * len(self.words) - 1)
-            hit &= (self.words[at >> 6] >> (at & 63).astype(U64)) & U64(1) == U64(1)
-        return hit
+        left = np.flatnonzero(size > U64(0))
+        base, size = self.start[segment[left]], size[left]
+        first, step = mix64(key[left]), mix64(key[left] ^ U64(0x94D049BB133111EB)) | U64(1)
+        for _ in range(PROBES):
+            at = base + (first % size).astype(np.int64)
+            hit = np.flatnonzero((self.words[at >> 6] >> (at & 63).astype(U64)) & U64(1))
+            left, base, size, first, step = left[hit], base[hit], size[hit], first[hit] + step[hit], step[hit]
+        return left
 
     def level(self, hashes: np.ndarray, order: int) -> np.ndarray:
         return self.probe((hashes >> U64(64 - self.bits)).astype(np.int64), hashes if order == 1 else fraction(hashes, self.bits), order)
@@ -183,14 +195,14 @@ def entry_key(item: np.ndarray, order: int, level: int | np.ndarray) -> np.ndarr
     return mix64(item ^ U64(0xD6E8FEB86659FD93 if order == 1 else 0xADD0CB2CB32F7B26)) + np.atleast_1d(level).astype(U64) * U64(0xA0761D6478BD642F)
 
 
-def _segment_bits(words: np.ndarray, word_counts: np.ndarray, pairs_: np.ndarray, pair_counts: np.ndarray) -> np.ndarray:
+def _segment_bits(words: np.ndarray, word_counts: np.ndarray, pairs_: np.ndarray, pair_counts: np.ndarray, filter_bits: int = BITS) -> np.ndarray:
     keys = []
     for order, h, n in ((1, words, word_counts), (2, pairs_, pair_counts)):
         level = np.minimum(level_of(n, 1), LEVELS - 1)
         at = np.arange(level.sum()) - np.repeat(np.cumsum(level) - level, level)
         keys.append(entry_key(np.repeat(h, level), order, at + 1))
     key = np.concatenate(keys)
-    size = -(-len(key) * BITS // 64) * 64
+    size = -(-len(key) * filter_bits // 64) * 64
     bits = np.zeros(size, bool)
     if size:
         first, step = mix64(key), mix64(key ^ U64(0x94D049BB133111EB)) | U64(1)
@@ -278,24 +290,25 @@ def build(merged: DataFrame, bits: int, table: bool = True) -> tuple[Model, int,
     return Model(found, min(unknown, 0.5), float(total.q)), total.n_tokens, total.n_types
 
 
-def score(docs: DataFrame, is_train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, is_train, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = BITS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
-    ``is_train``: boolean column over ``docs`` that marks the rows to learn from.
+    ``is_train``: boolean column over ``docs`` that marks the rows to learn from; ``filter_bits``: of the Bloom filter, for an entry.
     """
     spark = docs.sparkSession
+    ship_code(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(is_train, F.lit(False)).alias("train"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8), F.lit(0))).first()[0]
-    bits = max(4, int(n_bytes // SEGMENT_BYTES).bit_length())
-    merged = stored(count(rows.where("train").select("text"), bits), "counts")
+    bits = max(LEAST_BITS, int(n_bytes // SEGMENT_BYTES).bit_length())
+    merged = stored(count(rows.where("train").select("text"), bits, filter_bits), "counts")
     model, n, v = build(merged, bits, table=False)
     floor = np.log10(n + 0.5 * (v + 1))
 
     blocks = rows.select("doc_id", "text", "train", F.pmod(F.xxhash64("doc_id"), F.lit(int(n_bytes // BATCH_BYTES) + 1)).cast("int").alias("block"))
 
     def types_of(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct words, contexts included, and pairs."""
-        words, two = [np.array([BEGIN])], []
+        """Distinct words and pairs."""
+        words, two = [np.zeros(0, U64)], []
         for a in range(0, len(texts), 256):
             t, off = tokens(pa.array(texts.iloc[a : a + 256], pa.large_string()))
             words.append(np.unique(t))
@@ -304,55 +317,66 @@ def score(docs: DataFrame, is_train, id_col: str = "doc_id", text_col: str = "te
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         words, two = types_of(pdf.text)
-        we, pe = _edges(words, bits), _edges(two, bits)
-        return pd.DataFrame({"segment": np.arange(1 << bits, dtype=np.int32), "block": pdf.block.iloc[0], "words": [words[a:b].tobytes() for a, b in zip(we[:-1], we[1:])], "pairs": [_pack(fraction(two[a:b], bits)) for a, b in zip(pe[:-1], pe[1:])]})
+        which, we, pe = _ranges(words, two, bits)
+        return pd.DataFrame({"segment": which, "block": pdf.block.iloc[0], "words": [_pack(words[a:b], bits) for a, b in zip(we[:-1], we[1:])], "pairs": [pack_steps(fraction(two[a:b], bits)) for a, b in zip(pe[:-1], pe[1:])]})
 
     def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        w, c = (np.frombuffer(known[k].iloc[0] if len(known) else b"", t) for k, t in (("words", U64), ("word_counts", np.int64)))
+        if not len(asked):
+            return pd.DataFrame({k: [] for k in ("block", "segment", "counts", "word_levels", "pair_levels")})
+        segment = asked.segment.iloc[0]
+        w = _unpack(segment, known.words.iloc[0] if len(known) else b"", bits)
+        c = np.frombuffer(known.word_counts.iloc[0] if len(known) else b"", np.int64)
         own = np.frombuffer(known.bits.iloc[0] if len(known) else b"", U64)
         table = Filter(own, np.array([0, 64 * len(own)]), 0)
-        levels = lambda item, order: table.probe(np.zeros(len(item), np.int64), item, order).astype(np.uint8).tobytes()
-        counts, one, two = [], [], []
-        for raw, pair in zip(asked.words, asked.pairs):
-            x = np.frombuffer(raw, U64)
-            at = np.minimum(np.searchsorted(w, x), max(len(w) - 1, 0))
-            counts.append(np.where(w[at] == x, c[at], 0).tobytes() if len(w) else np.zeros(len(x), np.int64).tobytes())
-            one.append(levels(x, 1))
-            two.append(levels(_unpack(pair), 2))
-        return pd.DataFrame({"block": asked.block, "segment": asked.segment, "counts": counts, "word_levels": one, "pair_levels": two})
+        asks = [_unpack(segment, raw, bits) for raw in asked.words], [unpack_steps([raw]) for raw in asked.pairs]
+        (x, at), (y, back) = (np.unique(np.concatenate(part), return_inverse=True) for part in asks)  # of all blocks at once
+        place = np.minimum(np.searchsorted(w, x), max(len(w) - 1, 0))
+        found = (np.where(w[place] == x, c[place], 0) if len(w) else np.zeros(len(x), np.int64))[at]
+        one, two = table.probe(np.zeros(len(x), np.int64), x, 1)[at].astype(np.uint8), table.probe(np.zeros(len(y), np.int64), y, 2)[back].astype(np.uint8)
+        edges, ends = (np.concatenate([[0], np.cumsum([len(p) for p in part])]) for part in asks)
+        cut = lambda values, where: [values[i:j].tobytes() for i, j in zip(where[:-1], where[1:])]
+        return pd.DataFrame({"block": asked.block, "segment": asked.segment, "counts": [zlib.compress(raw, 1) for raw in cut(found, edges)], "word_levels": cut(one, edges), "pair_levels": cut(two, ends)})
 
     def look_up(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        """Exact parts of each text's row, and the levels of its tokens, three bytes each."""
+        """Exact parts of each text's row, and the levels of its words, then of its pairs, a byte each."""
         if not len(texts):
             return pd.DataFrame({k: [] for k in ("doc_id", "train", "n_tokens", "n_known", "base_score", "levels")})
         answers = answers.sort_values("segment")
-        counts, one, two = (np.frombuffer(b"".join(answers[k]), t) for k, t in (("counts", np.int64), ("word_levels", np.uint8), ("pair_levels", np.uint8)))
+        counts = np.frombuffer(b"".join(map(zlib.decompress, answers.counts)), np.int64)
+        one, two = (np.frombuffer(b"".join(answers[k]), np.uint8) for k in ("word_levels", "pair_levels"))
         words, kinds = types_of(texts.text)
         frames = []
         for a in range(0, len(texts), 256):
             part = texts.iloc[a : a + 256]
             t, off = tokens(pa.array(part.text, pa.large_string()))
-            before, pair = pairs(t, off)
             at = np.searchsorted(words, t)
             c = counts[at]
-            found = np.stack([one[np.searchsorted(words, before)], two[np.searchsorted(kinds, pair)], one[at]], axis=1)
-            levels = [found[i:j].tobytes() for i, j in zip(off[:-1], off[1:])]
+            word, pair = one[at], two[np.searchsorted(kinds, pairs(t, off)[1])]
+            levels = [zlib.compress(word[i:j].tobytes() + pair[i:j].tobytes(), 1) for i, j in zip(off[:-1], off[1:])]
             frames.append(pd.DataFrame({"doc_id": part.doc_id, "train": part.train, "n_tokens": np.diff(off), "n_known": np.add.reduceat((c > 0).astype(np.int64), off[:-1]), "base_score": np.add.reduceat(np.log10(c + 0.5) - floor, off[:-1]), "levels": levels}))
         return pd.concat(frames)
 
+    def levels_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Levels of the context, pair and word of all tokens, and the texts' offsets. A text's first token has no context."""
+        raws = [np.frombuffer(zlib.decompress(x.as_buffer()), np.uint8).reshape(2, -1) for x in column]
+        off = np.concatenate([[0], np.cumsum([x.shape[1] for x in raws])])
+        word, pair = np.concatenate(raws, axis=1).astype(np.int64)
+        context = np.concatenate([[0], word[:-1]])
+        context[off[:-1]] = 0
+        return context, pair, word, off
+
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
-            code, k = np.unique(_code(*found.T), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(k)], ["code", "n"])
+            for at in range(0, batch.num_rows, 256):
+                code, k = np.unique(_code(*levels_of(batch.column(0).slice(at, 256))[:3]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(k)], ["code", "n"])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
-                off = np.concatenate([[0], np.cumsum(part.column(1).to_numpy())])
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.full(part.num_rows, n, np.int64)), part.column(3), pa.array(shared.value.log10_of(*found.T, off))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                found = levels_of(part.column(4))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.full(part.num_rows, n, np.int64)), part.column(3), pa.array(shared.value.log10_of(*found))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     asked = blocks.groupBy("block").applyInPandas(ask, "segment int, block int, words binary, pairs binary")
     answers = asked.groupBy("segment").cogroup(merged.select("segment", "words", "word_counts", "bits").groupBy("segment")).applyInPandas(answer, "block int, segment int, counts binary, word_levels binary, pair_levels binary")

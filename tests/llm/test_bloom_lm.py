@@ -74,8 +74,8 @@ def test_pairs_seen_once_have_a_level_and_all_texts_set_the_shares(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{min(int(x), 500)}" for x in rng.zipf(1.4, 12)) for _ in range(3000)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    merged = B.stored(B.count(docs.select("text"), 4), "t")
-    model, _, _ = B.build(merged, 4)
+    merged = B.stored(B.count(docs.select("text"), B.LEAST_BITS), "t")  # score()'s layout of so small a table: equal false hits
+    model, _, _ = B.build(merged, B.LEAST_BITS)
     t, off = B.tokens(pa.array(texts))
     kinds, n = np.unique(B.pairs(t, off)[1], return_counts=True)
     levels = model.table.level(kinds, 2)
@@ -84,3 +84,40 @@ def test_pairs_seen_once_have_a_level_and_all_texts_set_the_shares(spark):
     want = model.log10(t, off)
     got = {r.doc_id: r.score for r in B.score(docs, F.lit(True)).collect()}
     assert all(abs(got[i] - w) < 1e-6 * max(1, abs(w)) for i, w in enumerate(want))
+
+
+def test_score_against_a_model_of_exact_counts(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{min(int(x), 300)}" for x in rng.zipf(1.5, int(rng.integers(0, 20)))) for _ in range(400)] + [None, "w1 never seen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = [i % 5 != 1 for i in range(len(texts))]
+    one, two = Counter(), Counter()
+    for text, ok in zip(texts, train):
+        if ok:
+            one.update(tok(text))
+            two.update(zip(["<s>", *tok(text)], tok(text)))
+    level = lambda n: 1 + math.floor(2 * math.log2(n) + 1e-9) if n else 0
+    value = lambda k: 2 ** ((k - 1) / 2) if k else 0.0
+    unknown = min(max(sum(n == 1 for n in one.values()), 0.5) / sum(one.values()), 0.5)
+    total = sum(value(level(n)) * 2**0.25 for n in one.values())
+
+    def parts(a, b, left_out=False):
+        w, c, pair = level(one[b]), level(one.get(a, 0)), value(level(two[a, b]))
+        p = (1 - unknown) * value(w) * 2**0.25 / total if w else unknown
+        pair = (pair - 1 if pair >= 2 else 0.0) if left_out else pair
+        return c, p, min(1.0, pair / value(c + 1)) if c else 0.0
+
+    events = Counter(parts(a, b, True) for text, ok in zip(texts, train) if ok for a, b in zip(["<s>", *tok(text)], tok(text)))
+    share = dict.fromkeys({c for c, _, _ in events}, 0.1)
+    for _ in range(25):
+        got = dict.fromkeys(share, 0.0)
+        for (c, p, r), n in events.items():
+            got[c] += n * share[c] * r / max(share[c] * r + (1 - share[c]) * p, 1e-300)
+        share = {c: (got[c] + 0.01) / (sum(n for (k, _, _), n in events.items() if k == c) + 10.0) for c in share}
+
+    def score(text):
+        found = [parts(a, b) for a, b in zip(["<s>", *tok(text)], tok(text))]
+        return sum(math.log10(share.get(c, 0.0) * r + (1 - share.get(c, 0.0)) * p) for c, p, r in found)
+
+    for r in B.score(docs, F.expr("doc_id % 5 <> 1"), filter_bits=400).collect():  # hardly any false hits
+        assert abs(r.score - score(texts[r.doc_id])) < 1e-6 * max(1, abs(r.score)), r.doc_id
