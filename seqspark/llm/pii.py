@@ -9,8 +9,9 @@ added where the classifier gives at least ``THRESHOLD`` and no span of a rule ov
 
 The counts have at most ``3**5 * 9`` rows a kind, whatever the corpus, and are fitted by one fold.
 
-Defined results: a null text is empty; offsets are code points; repeated rows give repeated rows; an empty table
-gives no rows; without proposals nothing is added.
+Defined results: a null text is empty; texts of any length are searched whole; offsets are code points; spans of equal
+start are ordered by end; repeated rows give repeated rows, rows without an id too; an empty table gives no rows; without
+proposals nothing is added; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
