@@ -15,13 +15,13 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,10 +36,10 @@ from .textops import chunks, utf8
 
 CAPACITY = 4096
 END_ID = 2
-#: Distinct words whose ids a worker remembers; it starts afresh beyond that (speed only).
+#: Distinct words whose ids a task remembers; it starts afresh beyond that (speed only).
 CACHE_WORDS = 1_000_000
 #: Text encoded at a time; a longer text stands alone.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -135,12 +135,6 @@ class WordTokenizer:
         return ids, edge[split.offsets.to_numpy()]
 
 
-@lru_cache(2)
-def _tokenizer(path: str) -> WordTokenizer:
-    """Kept by a worker from task to task, with the words that it knows."""
-    return WordTokenizer(path)
-
-
 def _gather(ids: np.ndarray, edge: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The parts ``which`` of ``ids`` (part k: from edge[k] to edge[k + 1]) one after another, and their edges."""
     size = np.diff(edge)[which]
@@ -219,7 +213,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     ship_code(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = _tokenizer(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        tokenizer, end = WordTokenizer(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         context = TaskContext.get()
         bins = Bins((context.partitionId() if context else 0) << 32, capacity, waste)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -238,6 +232,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                 if rows:
                     yield out(rows)
         yield out(list(bins.close()))
+        del tokenizer
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 

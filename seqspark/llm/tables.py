@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +41,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found or "/tmp/checkpoints/seqspark"
 
 
+_recorded: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that ``stored`` writes inside the block."""
+    _recorded.append([])
+    try:
+        yield _recorded[-1]
+    finally:
+        _recorded.pop()
+
+
+def remove(spark: SparkSession, paths: list[str], read_by: DataFrame) -> None:
+    """Removes folders that ``stored`` wrote, but for those that a DataFrame reads."""
+    used = {name.rsplit("/", 2)[-2] for name in read_by.inputFiles()} if paths else set()
+    for path in paths:
+        if path.rsplit("/", 1)[-1] not in used:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives executors."""
     spark = df.sparkSession
     ship_code(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _recorded:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
