@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 ``documents``. Between stages the rows are written as Parquet and read again, so each stage starts
 from what its predecessor kept.
 
+A stage begins by removing the intermediate tables of the stage called before it, but for those that its own ``docs``
+read: write a stage's rows before calling the next.
+
 Defined results, of every stage: rows are judged one by one, whether their doc_id is null, unique or
 shared; texts are taken whole, however long; an empty table gives no rows; columns besides doc_id, text
 and (for the language) lang are passed on whatever their names and types, but by the last stage, which
@@ -12,12 +15,14 @@ ignores them. What a null, empty or repeated row becomes stands at the stage.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.llm import decontaminate, langid, minhash, packing, secrets
-from seqspark.llm.tables import stored, table
+from seqspark.llm.tables import recorded, remove, stored, table
 
 #: No SQL expresses these stages; tests compare them with brute force.
 ORACLE_SQL = None
@@ -27,6 +32,23 @@ KEY = "_row_key"
 OWN = ("doc_id", "text", "lang")
 
 
+_left: list[str] = []
+
+
+def _stage(function):
+    """Removes what the last stage left in the shared folder, and keeps the names of what this one writes there."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _left, docs)
+        with recorded() as written:
+            out = function(spark, docs, sf_dir)
+        _left[:] = written
+        return out
+
+    return run_stage
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with a stored key of each row: a doc_id may be null or stand in several rows.
 
@@ -49,6 +71,7 @@ def _without(docs: DataFrame, keyed: DataFrame, found: DataFrame) -> DataFrame:
     return keyed.join(found.select(F.col("doc_id").alias(KEY)), KEY, "left_anti").drop(KEY).toDF(*docs.columns)
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters (null and empty ones among them), and those far from every language's centroids, go.
 
@@ -58,6 +81,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(~F.col("rejected")).drop("lang_pred", "score", "rejected").toDF(*docs.columns)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the least id of each group of near duplicates stays; one without an id only where all are.
 
@@ -73,6 +97,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, keyed, groups.join(first, "doc_id", "left_anti").select("doc_id").union(repeated))
 
 
+@_stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a benchmark passage go, repeated ones each; null and empty texts have none and stay."""
     keyed = _keyed(docs)
@@ -80,11 +105,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _without(docs, keyed, found.where("contaminated"))
 
 
+@_stage
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Credentials are replaced in the text by a mark; n_chars, if there, follows. No row goes, null texts stay null."""
     return secrets.redact(docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, by sequence; a null or empty text is its end id alone, repeated rows are packed once each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
