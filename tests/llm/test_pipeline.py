@@ -85,3 +85,21 @@ def test_columns_of_any_name_and_type_pass(spark):
         assert sorted(r.doc_id for r in got.collect()) == left[name], name
         assert {(r.score, r.rejected, r._letters, r._row_key, r.c0["a"] == r.doc_id % 4) for r in got.collect()} == {(0.5, True, "x", "k", True)}
     assert {r.doc_id for r in C.packed(spark, docs, sf).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_rows_go_to_workers_in_bounded_batches(spark):
+    """By rows alone, a partition of texts was one batch (40 MB here)."""
+    import pyarrow as pa
+
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('the word ', id, ' '), 1500) AS text", "'en' AS lang")
+    spark.conf.unset(C.BATCH_CONF)
+    try:
+        C.without_secrets(spark, docs, "")
+        sizes = docs.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes], "rows": [b.num_rows]}) for b in batches), "n long, rows long").collect()
+        assert sum(r.rows for r in sizes) == 2000
+        assert max(r.n for r in sizes) <= 2 * C.BATCH_BYTES
+        spark.conf.set(C.BATCH_CONF, 1 << 20)
+        C.without_secrets(spark, docs, "")
+        assert spark.conf.get(C.BATCH_CONF) == str(1 << 20)  # a setting of the session's own stays
+    finally:
+        spark.conf.unset(C.BATCH_CONF)
