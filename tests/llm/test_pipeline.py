@@ -5,7 +5,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline as C
-from seqspark.llm.tables import stored
+from seqspark.llm.tables import CLEANUP, stored
 from test_decontaminate import brute as contaminated
 from test_minhash import brute as near
 from test_secrets import brute as secret_spans
@@ -103,3 +103,12 @@ def test_rows_go_to_workers_in_bounded_batches(spark):
         assert spark.conf.get(C.BATCH_CONF) == str(1 << 20)  # a setting of the session's own stays
     finally:
         spark.conf.unset(C.BATCH_CONF)
+
+
+def test_shuffle_files_of_a_stored_table_go_at_once(spark):
+    """They stayed until the driver collected its garbage, and the next join's files came on top."""
+    known = lambda: {k for k in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keySet())}
+    before = known()
+    out = stored(spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count(), "shuffled")
+    assert not known() - before
+    assert out.count() == 10 and spark.conf.get(CLEANUP, None) is None
